@@ -6,8 +6,8 @@ floor(r) certain whole copies. The rest is a sample of fixed size without
 replacement: a document's inclusion odds are p / (1 - p) with p = r - floor(r)
 (times its own weight, if it has one), its random odds are u / (1 - u) with u
 from a digest of the row; documents enter in rising order of random odds over
-inclusion odds while their words fit in what is still due, and the largest
-document that fits in the last gap closes it.
+inclusion odds while their words fit in what is still due, and the document
+whose size is nearest to the last gap closes it, if that brings the sum nearer.
 
 No task sees a whole source: ranks are dealt into about sqrt(n) even buckets a
 source (n rows), whose sums are added up first; rows are then ordered within
@@ -113,10 +113,10 @@ def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | No
     chosen = F.coalesce(reached <= F.col("due"), F.lit(False)) & F.col("rank").isNotNull()
     drawn = write_shared(ranked.select("id", "source", "size", "u", "row", "words", "target", "due", "certain", "rank", chosen.alias("chosen")), "mix-drawn")
 
-    # The last gap of each source, and the largest document left that fits; ties go to the lower rank.
+    # The last gap of each source, and the document left that is nearest to it; ties go to the lower rank.
     gaps = drawn.groupBy("source").agg((F.max("due") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    left = _with_source(drawn.where("rank is not null and not chosen"), gaps, ["gap"]).where("size <= gap")
-    closing = left.groupBy("source").agg(F.max(F.struct("size", (-F.col("rank")).alias("first"), "row")).alias("best"))
+    left = _with_source(drawn.where("rank is not null and not chosen"), gaps, ["gap"]).where("size < 2 * gap")
+    closing = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "row")).alias("best"))
     closing = closing.select(F.col("best.row").alias("row"), F.lit(1).alias("closes"))
     out = drawn.join(closing, "row", "left")
     copies = F.col("certain") + F.when(F.col("chosen") | F.col("closes").isNotNull(), 1).otherwise(0)

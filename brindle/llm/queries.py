@@ -48,8 +48,8 @@ chosen as (
 gaps as (select source, max(due) - sum(case when chosen then size else 0 end) as gap from chosen group by source),
 closing as (
   select c.r from chosen c join gaps g on c.source is not distinct from g.source
-  where rank is not null and not chosen and size <= gap
-  qualify row_number() over (partition by c.source order by size desc, rank, c.r desc) = 1)
+  where rank is not null and not chosen and size < 2 * gap
+  qualify row_number() over (partition by c.source order by abs(gap - size), rank, c.r) = 1)
 select doc_id, size, words as source_size, target,
   ((certain + case when chosen or r in (select r from closing) then 1 else 0 end) * size)::bigint as taken
 from chosen
