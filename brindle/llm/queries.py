@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, quality_rules
+from brindle.llm import decontaminate, mixing, quality_rules, simhash
 from brindle.sources.tables import read_table
 
 
@@ -81,5 +81,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from g
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_quality_rules": op3_quality_rules}
-ORACLES = {"op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "found")
+    n_hit = decontaminate.hit_words()
+    return out.select(
+        "doc_id",
+        "found.n_words",
+        n_hit.alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+with doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_window as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') as k
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from item where len(w) > 0)),
+lengths as (select distinct n from item_window),
+doc_window as (
+  select r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as k
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, lengths where len(w) >= n)),
+hit as (select r, d.n, i, item_id from doc_window d join item_window using (n, k)),
+hit_word as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hit) group by r),
+hit_item as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct r, item_id from hit) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit_word using (r) left join hit_item using (r)
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.classes(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_decontamination": op6_decontamination,
+    "op9_simhash": op9_simhash,
+}
+ORACLES = {"op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL}
