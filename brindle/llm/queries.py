@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, mixing, quality_rules, simhash
+from brindle.llm import decontaminate, mixing, pii, quality_rules, simhash
 from brindle.sources.tables import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. SQL can't express the local parsers; tests hold it against the patterns."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.digest("text").alias("r")).select("doc_id", "r.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: taken is the document's words times its copies."""
     out = mixing.mix(mixing.weigh(read_table(spark, sf_dir, "documents")))
@@ -126,6 +132,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op6_decontamination": op6_decontamination,
