@@ -1,3 +1,73 @@
-"""Placeholder until its stages exist."""
-QUERIES = {}
-ORACLES = {}
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet in the shared folder and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All
+but the last return the columns of ``documents``; the last adds how often the mix takes a row.
+
+Defined results: null and empty texts fall to the quality rules; repeated rows are one group of
+near duplicates; an empty table stays empty; further columns of ``documents`` are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate, mixing, pii, quality_rules, simhash
+from brindle.plans.shared import write_shared
+from brindle.sources.tables import read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints, by the shingles and the radius of the operator's own contract."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    masked = pii.redact_column(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that the mix takes, with mix_copies (how often) and mix_words (its size); columns of these names are replaced."""
+    docs = docs.drop("mix_copies", "mix_words")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "*")
+    rows = write_shared(rows, "pipeline-rows")
+    mixed = mixing.mix(mixing.weigh(rows, keep=("_row",)))
+    copies = mixed.where("copies > 0").select(F.col("_row").alias("_taken"), F.col("copies"), F.col("size"))
+    copies = copies.withColumnsRenamed({"copies": "mix_copies", "size": "mix_words"})
+    return rows.join(copies, F.col("_row") == F.col("_taken")).drop("_row", "_taken")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
+
+#: SQL has neither the fingerprints' hash nor the local parsers; tests hold the stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
