@@ -84,10 +84,11 @@ def _with_source(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataF
 
 
 def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | None = None) -> DataFrame:
-    """Copies for each row of ``weigh``: adds words, target and copies.
+    """Copies for each row of ``weigh``: adds words, target and copies; columns that ``weigh`` kept stay.
 
     ``own_weight`` names a positive column that multiplies a document's inclusion odds within its source.
     """
+    kept = [c for c in weighed.columns if c not in ("id", "source", "size", "u", own_weight)]
     rows = write_shared(weighed.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     table = write_shared(targets(rows) if table is None else table, "mix-sources")
     rows = _with_source(rows, table, ["words", "target", F.ceil(F.sqrt("rows")).alias("buckets")])
@@ -111,7 +112,7 @@ def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | No
     upto = Window.partitionBy("source", "bucket").orderBy(F.col("rank").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     reached = F.col("words_before") + F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).over(upto)
     chosen = F.coalesce(reached <= F.col("due"), F.lit(False)) & F.col("rank").isNotNull()
-    drawn = write_shared(ranked.select("id", "source", "size", "u", "row", "words", "target", "due", "certain", "rank", chosen.alias("chosen")), "mix-drawn")
+    drawn = write_shared(ranked.select("id", "source", "size", "u", "row", "words", "target", "due", "certain", "rank", chosen.alias("chosen"), *kept), "mix-drawn")
 
     # The last gap of each source, and the document left that is nearest to it; ties go to the lower rank.
     gaps = drawn.groupBy("source").agg((F.max("due") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
@@ -120,4 +121,4 @@ def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | No
     closing = closing.select(F.col("best.row").alias("row"), F.lit(1).alias("closes"))
     out = drawn.join(closing, "row", "left")
     copies = F.col("certain") + F.when(F.col("chosen") | F.col("closes").isNotNull(), 1).otherwise(0)
-    return out.select("id", "source", "size", "row", "words", "target", copies.cast("long").alias("copies"))
+    return out.select("id", "source", "size", "row", "words", "target", copies.cast("long").alias("copies"), *kept)
