@@ -119,6 +119,10 @@ def parse_value(v: Column, field: Field) -> Column:
     return F.when(kind_of(v) == "STRING", _get(v, "string"))
 
 
+def _each(items: Column, field: Field) -> Column:
+    return F.transform(items, lambda v: parse_value(v, field))
+
+
 def address_name(field: Field) -> str:
     """The column of an ip field's 16-byte form."""
     return field.name + "#bytes"
@@ -139,7 +143,7 @@ def parse_documents(lines: DataFrame, config: IndexConfig, column: str = "value"
         raw = F.when(kind_of(raw) != "VOID", raw) if null_is_absent else raw
         if field.array:
             items = F.when(kind_of(raw).startswith("ARRAY"), _get(raw, "array<variant>"))
-            made = F.transform(items, lambda v, field=field: parse_value(v, field))
+            made = _each(items, field)
             bad = raw.isNotNull() & (items.isNull() | F.exists(made, lambda v: v.isNull()))
         else:
             made = parse_value(raw, field)
