@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 #: Merges in a vocabulary that is broadcast, at most.
 MOST_MERGES = 1_000_000
-#: Pre-tokens remembered by a task, and the longest of them in bytes.
-REMEMBER, REMEMBER_BYTES = 200_000, 32
+#: Pre-tokens remembered by a task, and the longest of them in characters.
+REMEMBER, REMEMBER_LENGTH = 200_000, 32
 #: Symbols in one flat array, about.
 FLAT = 1 << 20
 
@@ -112,45 +112,50 @@ class Counter:
         import regex
 
         self.merges = merges
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(merges.specials, key=len, reverse=True)))) if merges.specials else None
 
-    def _pieces(self, text: str) -> tuple[int, list[bytes]]:
+    def _pieces(self, text: str) -> tuple[int, list[str]]:
         parts = self.cut.split(text) if self.cut else [text]
-        return len(parts) - 1, [w.encode() for part in parts if part for w in self.find(part)]
+        if len(parts) == 1:
+            return 0, self.find(text)
+        return len(parts) - 1, [w for part in parts if part for w in self.find(part)]
 
-    def learn(self, words: set[bytes]) -> dict[bytes, int]:
+    def learn(self, words: set[str]) -> dict[str, int]:
         """Counts of pre-tokens, in flat arrays of bounded size."""
         found, part, size = {}, [], 0
         for word in sorted(words, key=len):
             part.append(word)
             size += len(word)
             if size >= FLAT:
-                found.update(zip(part, self.merges.count(part).tolist()))
+                found.update(zip(part, self.merges.count([w.encode() for w in part]).tolist()))
                 part, size = [], 0
         if part:
-            found.update(zip(part, self.merges.count(part).tolist()))
+            found.update(zip(part, self.merges.count([w.encode() for w in part]).tolist()))
         return found
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text."""
-        out, todo, size = [0] * len(texts), [], 0
+        """Tokens of each text. Long pre-tokens are forgotten after each flat array's worth of words, short ones when too many."""
+        out, todo, size, new = [0] * len(texts), [], 0, set()
+        known = self.known
         for n, text in enumerate(texts):
             if text:
                 out[n], words = self._pieces(text)
                 todo.append((n, words))
+                new.update(words)
                 size += len(words)
             if size > FLAT or n == len(texts) - 1:
-                new = {w for _, words in todo for w in words} - self.known.keys()
-                fresh = self.learn(new)
-                get, known = fresh.get, self.known
+                fresh = self.learn(new - known.keys())
+                known.update(fresh)
                 for k, words in todo:
-                    out[k] += sum(known[w] if w in known else get(w) for w in words)
+                    out[k] += sum(map(known.__getitem__, words))
+                for word in fresh:
+                    if len(word) > REMEMBER_LENGTH:
+                        del known[word]
                 if len(known) > REMEMBER:
                     known.clear()
-                known.update((w, c) for w, c in fresh.items() if len(w) <= REMEMBER_BYTES)
-                todo, size = [], 0
+                todo, size, new = [], 0, set()
         return out
 
 
