@@ -24,7 +24,7 @@ are in one component; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -43,25 +43,34 @@ TREE_MOST = 4000
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, as an unsigned integer."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split() if text else []  # for bytes both know ASCII only, and split at 09-0D and 20
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], dtype=np.uint64)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    hashes = [xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
+    return np.array([xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
-        part = np.array(hashes[at : at + 4096], dtype="<u8")
+        part = hashes[at : at + 4096].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, as an unsigned integer."""
+    return majority(shingle_hashes(text, shingle))
+
+
 @F.arrow_udf(T.LongType())
 def fingerprint_of(texts: pa.Array) -> pa.Array:
     """The fingerprint of each text as a signed long."""
@@ -222,12 +231,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree_mo
     return narrow.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = classes, mark: Callable[[Column], Column] = fingerprint_of) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id.
 
     Where several rows bear that id (or none bears any), the first of them by its columns' values stays.
+    ``find`` names the components, and ``mark`` is the value of a text that it calls fp.
     """
-    found = classes(docs, id_col, text).where(F.col("id").eqNullSafe(F.col("component_id")))
+    found = find(docs, id_col, text).where(F.col("id").eqNullSafe(F.col("component_id")))
     heads = write_shared(found.groupBy("component", F.col("id").alias("_id")).agg(F.count("*").alias("_rows"), F.collect_set("fp").alias("_fps")), "simhash-heads")
     by_id = heads.groupBy("_id").agg(F.sum("_rows").alias("_rows"))
     kept = docs.join(by_id, F.col(id_col).eqNullSafe(F.col("_id")))
@@ -236,7 +246,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     if shared.isEmpty():
         return alone
     named = shared.select("_id", "component", F.explode("_fps").alias("_fp"))
-    several = kept.where("_rows > 1").drop("_id", "_rows").withColumn("_fp1", fingerprint_of(F.col(text)))
+    several = kept.where("_rows > 1").drop("_id", "_rows").withColumn("_fp1", mark(F.col(text)))
     several = several.join(named, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp1") == F.col("_fp")))
     first = Window.partitionBy("component").orderBy(*docs.columns)
     several = several.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")

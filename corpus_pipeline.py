@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, mixing, pii, quality_rules, simhash
+from brindle.llm import decontaminate, mixing, pii, quality_rules, similar
 from brindle.plans.shared import write_shared
 from brindle.sources.tables import read_table
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints, by the shingles and the radius of the operator's own contract."""
-    return simhash.keep_one(docs)
+    """One document of each component at a similarity of 0.8 or more of five-word shingles."""
+    return similar.keep_one_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
