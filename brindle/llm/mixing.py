@@ -83,7 +83,42 @@ def _with_source(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataF
     return joined.drop("_salt", "_at", "_source")
 
 
-def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | None = None) -> DataFrame:
+def _reached(rows: DataFrame, of: Column) -> DataFrame:
+    """Adds the running sum of ``of`` by rank in each source, its own row included: by bucket first, then within buckets."""
+    rows = rows.withColumn("_of", of)
+    sums = rows.groupBy("source", "bucket").agg(F.sum("_of").alias("in_bucket"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("words_before"))
+    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))
+    rows = rows.join(sums, on, "left").drop("_source", "_bucket")
+    upto = Window.partitionBy("source", "bucket").orderBy(F.col("rank").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("reached", F.col("words_before") + F.sum("_of").over(upto)).drop("_of", "words_before")
+
+
+def _later_fits(left: DataFrame) -> DataFrame:
+    """Rows (source, row, size) that are taken when the walk goes on past those that don't fit.
+
+    ``left`` has the rows that are not taken and no larger than their source's gap. A
+    round takes rows of up to half the gap by their running sum, until one doesn't fit
+    or until a row of more than half fits, which is taken too. Less than half of the gap
+    stays either way, or no row that fits, so that rounds are log-many.
+    """
+    taken, place = None, F.struct("rank", "size", "row")
+    while taken is None or not left.isEmpty():
+        scored = _reached(left.withColumn("small", 2 * F.col("size") <= F.col("gap")), F.when(F.col("small"), F.col("size")).otherwise(0))
+        fits = F.col("reached") + F.when(F.col("small"), 0).otherwise(F.col("size")) <= F.col("gap")
+        scored = write_shared(scored.withColumn("fits", fits).drop("reached"), "mix-round")
+        large = scored.groupBy("source").agg(F.min(F.when(F.col("fits") & ~F.col("small"), place)).alias("large"))
+        scored = _with_source(scored, large, ["large"]).withColumn("takes", F.col("fits") & (F.col("large").isNull() | (place <= F.col("large"))))
+        now = scored.where("takes").select("source", "row", "size")
+        taken = now if taken is None else taken.unionByName(now)
+        less = scored.groupBy("source").agg((F.max("gap") - F.sum(F.when(F.col("takes"), F.col("size")).otherwise(0))).alias("gap"))
+        rest = _with_source(scored.where("not takes").drop("gap"), less, ["gap"]).where("size <= gap")
+        left = write_shared(rest.select(*left.columns), "mix-left")
+    return taken
+
+
+def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | None = None, past_misfits: bool = True) -> DataFrame:
     """Copies for each row of ``weigh``: adds words, target and copies; columns that ``weigh`` kept stay.
 
     ``own_weight`` names a positive column that multiplies a document's inclusion odds within its source.
@@ -104,18 +139,17 @@ def mix(weighed: DataFrame, table: DataFrame | None = None, own_weight: str | No
     bucket = F.least(F.floor(odds / (1 + odds) * F.col("buckets")), F.col("buckets") - 1).cast("long")
     ranked = rows.select("*", F.when((F.col("p") > 0) & (F.col("size") > 0), rank).alias("rank"), bucket.alias("bucket"))
 
-    sums = ranked.where("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("words_before"))
-    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))
-    ranked = ranked.join(sums, on, "left").drop("_source", "_bucket")
-    upto = Window.partitionBy("source", "bucket").orderBy(F.col("rank").asc_nulls_last(), "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("words_before") + F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).over(upto)
-    chosen = F.coalesce(reached <= F.col("due"), F.lit(False)) & F.col("rank").isNotNull()
-    drawn = write_shared(ranked.select("id", "source", "size", "u", "row", "words", "target", "due", "certain", "rank", chosen.alias("chosen"), *kept), "mix-drawn")
+    ranked = _reached(ranked, F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0))
+    chosen = F.coalesce(F.col("reached") <= F.col("due"), F.lit(False)) & F.col("rank").isNotNull()
+    drawn = write_shared(ranked.select("id", "source", "size", "u", "row", "words", "target", "due", "certain", "rank", "bucket", chosen.alias("chosen"), *kept), "mix-drawn")
 
     # The last gap of each source, and the document left that is nearest to it; ties go to the lower rank.
     gaps = drawn.groupBy("source").agg((F.max("due") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+    if past_misfits:
+        open_rows = _with_source(drawn.where("rank is not null and not chosen"), gaps, ["gap"]).where("size <= gap")
+        later = write_shared(_later_fits(write_shared(open_rows.select("source", "u", "row", "size", "rank", "bucket", "gap"), "mix-left")), "mix-later")
+        gaps = gaps.unionByName(later.select("source", (-F.col("size")).cast("double").alias("gap"))).groupBy("source").agg(F.sum("gap").alias("gap"))
+        drawn = drawn.join(later.select("row", F.lit(True).alias("_later")), "row", "left").withColumn("chosen", F.col("chosen") | F.col("_later").isNotNull()).drop("_later")
     left = _with_source(drawn.where("rank is not null and not chosen"), gaps, ["gap"]).where("size < 2 * gap")
     closing = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "row")).alias("best"))
     closing = closing.select(F.col("best.row").alias("row"), F.lit(1).alias("closes"))

@@ -16,8 +16,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix all documents: taken is the document's words times its copies."""
-    out = mixing.mix(mixing.weigh(read_table(spark, sf_dir, "documents")))
+    """Mix all documents: taken is the document's words times its copies. As in its SQL, the first misfit ends a source's sample."""
+    out = mixing.mix(mixing.weigh(read_table(spark, sf_dir, "documents")), past_misfits=False)
     return out.select(
         F.col("id").alias("doc_id"), "size", F.col("words").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken")
     )

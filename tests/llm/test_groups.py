@@ -167,3 +167,20 @@ def test_pipeline_against_plain(spark, docs):
     took, due = sum(r.mix_copies * r.mix_words for r in last), 1.5 * sum(words.values())
     assert abs(took - due) <= 4 * max(words.values())
     assert sorted((r.doc_id, r.mix_copies) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.mix_copies) for r in last)
+
+
+def test_mix_goes_on_past_misfits(spark):
+    sizes = {"long": [400] * 50 + [20_000], "mixed": [n * n % 997 + 1 for n in range(60)] + [9_000, 30_000], None: [5, 3, 70, 1_500]}
+    rows = [(1000 * k + n, " ".join(["w"] * size), source) for k, (source, each) in enumerate(sizes.items()) for n, size in enumerate(each)]
+    weighed = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for share in (0.3, 0.7):
+        table = spark.createDataFrame([(s, len(each), sum(each), share * sum(each)) for s, each in sizes.items()], "source string, rows long, words long, target double")
+        got = {r.id: r.copies for r in mixing.mix(weighed, table).collect()}
+        for source, each in sizes.items():
+            left, gap, taken = sorted((r.u, r.size, r.id) for r in weighed.collect() if r.source == source), share * sum(each), set()
+            for _, size, one in left:
+                if size <= gap:
+                    gap -= size
+                    taken.add(one)
+            close = min(((abs(gap - size), u, one) for u, size, one in left if one not in taken and size < 2 * gap), default=None)
+            assert {one for _, _, one in left if got[one]} == taken | ({close[2]} if close else set())
