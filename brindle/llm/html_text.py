@@ -43,6 +43,9 @@ CLOSES["li"] += ((frozenset(["li"]), frozenset(["ul", "ol", "menu", "table", "td
 CLOSES["dd"] += ((frozenset(["dd", "dt"]), frozenset(["dl", "table", "td", "th"])),)
 CLOSES["dt"] += ((frozenset(["dd", "dt"]), frozenset(["dl", "table", "td", "th"])),)
 
+#: What may stand in a head; anything else ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+
 #: Width up to which a column is padded; widest span of a cell; nesting of tables that is laid out (deeper ones are blocks); open elements kept.
 PAD_MOST, SPAN_MOST, TABLES_MOST, DEPTH_MOST = 40, 1000, 8, 512
 
@@ -81,7 +84,13 @@ class TreeBuilder(HTMLParser):
             if tag in barrier:
                 return
 
+    def _end_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_CONTENT:
+            self._end_head()
         for tags, barrier in CLOSES.get(tag, ()):
             self._close(tags, barrier)
         node = Node(tag, dict(attrs))
@@ -94,12 +103,15 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
+            self._end_head()
             self.open[-1].children.append(Node("br", {}))
         elif tag not in VOID:
             inside = frozenset() if tag in ("table", "tr", "td", "th", "html", "body") or tag in ROW_GROUPS else frozenset(["td", "th", "caption"])
             self._close(frozenset([tag]), inside)
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self.open[-1].children.append(data)
 
 

@@ -152,6 +152,19 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><p>hi", "hi"),
+        ("<head><meta charset=utf-8><p>hi<p>you", "hi\n\nyou"),
+        ("<head> <title>x</title> <style>a {}</style> some text</head> more", "some text more"),
+        ("<head><noscript><img alt=no></noscript><title>no</title></head><body>yes", "yes"),
+    ],
+)
+def test_html_head_without_end(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_edges(spark, edge):
     from pyspark.sql import functions as F
 
