@@ -46,6 +46,11 @@ CLOSES["dt"] += ((frozenset(["dd", "dt"]), frozenset(["dl", "table", "td", "th"]
 #: What may stand in a head; anything else ends it.
 HEAD_CONTENT = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 
+#: Roots of foreign content, elements in it whose content is HTML again, and HTML elements that end it.
+FOREIGN = frozenset(["svg", "math"])
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+
 #: Width up to which a column is padded; widest span of a cell; nesting of tables that is laid out (deeper ones are blocks); open elements kept.
 PAD_MOST, SPAN_MOST, TABLES_MOST, DEPTH_MOST = 40, 1000, 8, 512
 
@@ -54,10 +59,10 @@ _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORE
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "foreign", "children")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs = tag, attrs
+    def __init__(self, tag: str, attrs: dict[str, str | None], foreign: bool = False) -> None:
+        self.tag, self.attrs, self.foreign = tag, attrs, foreign
         self.children: list[Node | str] = []
 
     def shown(self) -> bool:
@@ -88,18 +93,24 @@ class TreeBuilder(HTMLParser):
         if self.open[-1].tag == "head":
             self.open.pop()
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _in_foreign(self) -> bool:
+        return self.open[-1].foreign and self.open[-1].tag not in HTML_AGAIN
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], ended: bool = False) -> None:
+        if tag in ENDS_FOREIGN:
+            while self._in_foreign():
+                self.open.pop()
         if tag not in HEAD_CONTENT:
             self._end_head()
         for tags, barrier in CLOSES.get(tag, ()):
             self._close(tags, barrier)
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(attrs), tag in FOREIGN or self._in_foreign())
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH_MOST:
+        if tag not in VOID and not (ended and node.foreign) and len(self.open) < DEPTH_MOST:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, ended=True)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":

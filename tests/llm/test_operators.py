@@ -165,6 +165,19 @@ def test_html_head_without_end(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p><svg class='i'/> Hello</p><p>you", "Hello\n\nyou"),
+        ("<svg><defs><path/></defs><g/></svg>a<math/>b", "ab"),
+        ("<svg><defs><p>out</p>", "out"),
+        ("<div/>in<span/> it", "in it"),
+    ],
+)
+def test_html_foreign_elements_end_themselves(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_edges(spark, edge):
     from pyspark.sql import functions as F
 
