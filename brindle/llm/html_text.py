@@ -5,7 +5,8 @@ leave open (``CLOSES``) and ends nothing outside the cell it stands in. Renderin
 walks the tree without recursion but for nested tables: white space collapses except in
 ``pre``; blocks begin on a new line and paragraphs after a blank one; list
 items get marks and indents; table cells stand in aligned columns, by
-``colspan`` and ``rowspan``. Nothing is shown of ``HIDDEN`` elements, nor of those
+``colspan`` and ``rowspan``. Formulas are their characters in order, labels of drawings are words of the
+line. Nothing is shown of ``HIDDEN`` elements, of ``FOREIGN_HIDDEN`` ones in drawings and formulas, nor of those
 with ``hidden`` or a style of ``display:none`` or ``visibility:hidden``.
 
 Defined results: null and empty pages have an empty text; anything is accepted as
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements that show nothing, have no content, or begin a line.
-HIDDEN = frozenset("head title script style template noscript meta link base iframe object svg math canvas audio video datalist".split())
+HIDDEN = frozenset("head title script style template noscript meta link base iframe object canvas audio video datalist".split())
+#: Of svg and math only these show nothing.
+FOREIGN_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside body center details dialog div dd dl dt fieldset figcaption figure footer form header html legend li main nav optgroup option search section summary caption".split())
+BLOCKS = frozenset("address article aside body center details dialog div dd dl dt fieldset figcaption figure footer form header html legend li main nav optgroup option search section summary caption foreignobject".split())
 SPACED = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr p pre table ul ol menu".split())
 ROW_GROUPS = frozenset("thead tbody tfoot".split())
 #: An opening tag on the left ends open elements on the right, as far up as the elements in the third place.
@@ -55,7 +58,20 @@ ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em e
 PAD_MOST, SPAN_MOST, TABLES_MOST, DEPTH_MOST = 40, 1000, 8, 512
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: A declaration of a style, as far as the next ";" outside of quotes and parentheses; comments.
+_DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*"?|'[^']*'?|\([^)]*\)?)+""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+
+
+def _hides(style: str) -> bool:
+    """Whether the declarations, of which the last of a name counts unless one is important, have the element hidden."""
+    values: dict[str, tuple[bool, str]] = {}
+    for declaration in _DECLARATION.findall(_COMMENT.sub("", style)):
+        name, _, value = declaration.partition(":")
+        name, (value, bang, _) = name.strip().lower(), value.lower().partition("!")
+        if bool(bang) >= values.get(name, (False, ""))[0]:
+            values[name] = bool(bang), value.strip()
+    return values.get("display", (False, ""))[1] == "none" or values.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 class Node:
@@ -68,8 +84,10 @@ class Node:
     def shown(self) -> bool:
         if self.tag in HIDDEN or "hidden" in self.attrs or (self.tag == "input" and (self.attrs.get("type") or "").lower() == "hidden"):
             return False
+        if self.foreign and self.tag in FOREIGN_HIDDEN:
+            return False
         style = self.attrs.get("style")
-        return not (style and _NOT_SHOWN.search(style))
+        return not (style and _hides(style))
 
 
 class TreeBuilder(HTMLParser):
@@ -262,6 +280,9 @@ def layout(root: Node, depth: int = 0) -> list[str]:
             todo.pop()
             end = ends.pop()
             if end:
+                if end == "text":
+                    page.space = True
+                    continue
                 if end == "pre":
                     pre -= 1
                 if end in ("ul", "ol", "menu"):
@@ -322,10 +343,11 @@ def layout(root: Node, depth: int = 0) -> list[str]:
             page.prefix.append("  ")
         elif tag == "pre":
             pre += 1
-        elif tag == "textarea":
+        label = tag == "text" and child.foreign
+        if tag == "textarea" or label:
             page.space = True
         todo.append(iter(child.children))
-        ends.append(tag if block else None)
+        ends.append(tag if block or label else None)
     return page.done()
 
 

@@ -178,6 +178,20 @@ def test_html_foreign_elements_end_themselves(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p style='backface-visibility: hidden'>a<b style='x-display:none'>b</b>", "ab"),
+        ("<p style='content: \"; display: none\"'>a", "a"),
+        ("<p style='display:none;DISPLAY: block'>a<p style='Display : None !important; display: block'>b<p style='/*;*/visibility:hidden'>c", "a"),
+        ("<p>so <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math> is", "so a+b is"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>one</text><text>two</text><foreignObject><p>three</p></foreignObject></svg>", "one two\n\nthree"),
+    ],
+)
+def test_html_formulas_drawings_and_styles(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_edges(spark, edge):
     from pyspark.sql import functions as F
 
