@@ -54,8 +54,8 @@ FOREIGN = frozenset(["svg", "math"])
 HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 
-#: Width up to which a column is padded; widest span of a cell; nesting of tables that is laid out (deeper ones are blocks); open elements kept.
-PAD_MOST, SPAN_MOST, TABLES_MOST, DEPTH_MOST = 40, 1000, 8, 512
+#: Width up to which a column is padded; widest span of a cell; nesting of tables that is laid out (deeper ones are blocks); levels that deepen the indent.
+PAD_MOST, SPAN_MOST, TABLES_MOST, INDENT_MOST = 40, 1000, 8, 256
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: A declaration of a style, as far as the next ";" outside of quotes and parentheses; comments.
@@ -97,19 +97,27 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of open elements by tag, so that closing doesn't walk a deep stack
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _pop(self) -> None:
+        self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
 
     def _close(self, tags: frozenset[str], barrier: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in tags:
-                del self.open[k:]
-                return
-            if tag in barrier:
-                return
+        at = self._last(tags)
+        if at and at >= self._last(barrier):
+            while len(self.open) > at:
+                self._pop()
 
     def _end_head(self) -> None:
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._pop()
 
     def _in_foreign(self) -> bool:
         return self.open[-1].foreign and self.open[-1].tag not in HTML_AGAIN
@@ -117,15 +125,15 @@ class TreeBuilder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], ended: bool = False) -> None:
         if tag in ENDS_FOREIGN:
             while self._in_foreign():
-                self.open.pop()
+                self._pop()
         if tag not in HEAD_CONTENT:
             self._end_head()
         for tags, barrier in CLOSES.get(tag, ()):
             self._close(tags, barrier)
         node = Node(tag, dict(attrs), tag in FOREIGN or self._in_foreign())
         self.open[-1].children.append(node)
-        if tag not in VOID and not (ended and node.foreign) and len(self.open) < DEPTH_MOST:
-            self.open.append(node)
+        if tag not in VOID and not (ended and node.foreign):
+            self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs, ended=True)
@@ -161,7 +169,7 @@ class Page:
                 self.lines.append("")
             self.blank = False
             mark = self.mark or ""
-            indent = "".join(self.prefix)
+            indent = "".join(self.prefix[:INDENT_MOST])
             self.lines.append(((indent[: -len(mark)] + mark) if mark else indent) + "".join(self.line))
             self.mark, self.line = None, []
         self.space = False

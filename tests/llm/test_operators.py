@@ -192,6 +192,12 @@ def test_html_formulas_drawings_and_styles(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize("deep", [600, 50_000])
+def test_html_deep_elements(deep):
+    page = "<p>a" + "<b>" * deep + "<script>no</script><i hidden>no<b>no</b></i>b" + "</b>" * deep + "c<p>d" + "<b>" * deep + "<hr>" * 1000 + "e"
+    assert html_text.visible_text(page) == "abc\n\nd\n\ne"
+
+
 def test_edges(spark, edge):
     from pyspark.sql import functions as F
 
