@@ -58,7 +58,7 @@ def _slots() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: bytes | None) -> tuple[int, int, list[int]]:
-    """A hash of the shingle set, the 64-bit fingerprint, and a key for each band."""
+    """A hash of the shingle set, the 64-bit fingerprint of the set, and a key for each band."""
     from xxhash import xxh64_intdigest
 
     hashes = shingle_hashes(text, SHINGLE)
@@ -70,7 +70,7 @@ def sketch(text: bytes | None) -> tuple[int, int, list[int]]:
     for at in range(0, len(members), 1024):
         least = np.minimum(least, ((members[at : at + 1024, None] ^ masks) * factors).min(axis=0))
     bands = [xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.astype("<u8").reshape(BANDS, ROWS))]
-    return xxh64_intdigest(members.astype("<u8").tobytes(), 5), majority(hashes), bands
+    return xxh64_intdigest(members.astype("<u8").tobytes(), 5), majority(members), bands
 
 
 @F.arrow_udf(SKETCH)

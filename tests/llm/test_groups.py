@@ -104,6 +104,15 @@ def test_similar_against_all_pairs(spark, docs, tree_most):
         assert sorted(r.doc_id for r in similar.keep_one_similar(both).collect()) == sorted(set(root.values()))
 
 
+def test_fingerprint_is_of_the_set():
+    rest = " ".join(f"w{n}" for n in range(800))
+    once, often = (f"a b c d e {'a b c d e ' * times}{rest}".encode() for times in (1, 40))
+    changed = often.replace(b" w799", b" other")
+    (fp, bits, _), (same_fp, same_bits, _), (_, near, _) = map(similar.sketch, (once, often, changed))
+    assert (fp, bits) == (same_fp, same_bits)
+    assert similar.is_similar(once, changed) and (bits ^ near).bit_count() <= similar.RADIUS
+
+
 def test_edge_rows(spark, edge):
     kept = quality_rules.keep_good(edge).collect()
     assert all(r.text and len(r.text.split()) >= 10 for r in kept) and kept
