@@ -87,9 +87,16 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         spark._jvm.System.gc()
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete what scopes kept, once the results that read it are written."""
-    _delete(spark, _KEPT.pop(spark.sparkContext.applicationId, []))
+def outlived(spark: SparkSession) -> frozenset[str]:
+    """The tables that have outlived their scopes so far."""
+    return frozenset(_KEPT.get(spark.sparkContext.applicationId, ()))
+
+
+def sweep(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Delete what outlived its scope, once the results that read it are written; ``but`` stays."""
+    kept = _KEPT.get(spark.sparkContext.applicationId, [])
+    _delete(spark, [path for path in kept if path not in but])
+    kept[:] = [path for path in kept if path in but]
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
