@@ -1,14 +1,15 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 A benchmark item gives every window of ``WINDOW`` consecutive words; an item
-with fewer, but not none, is one window. Windows are keyed by their words' bytes
-in a hash set; a document's windows whose first and last words occur there are
-looked up, and the lookup compares all bytes, which verifies the hit. A word
-inside any window found is hit.
+with fewer, but not none, is one window. Each window is a 64-bit hash in a sorted
+array, with the place of its words in the items' text. A document's windows are
+hashed in the same way and looked up; a hit counts when the words' bytes
+are those at that place. A word inside any window found is hit.
 
-The benchmark is broadcast only in blocks of at most ``BLOCK_BYTES`` of text, by
-its measured size; a larger one is scanned for block by block and the spans are
-put together, which takes more passes but gives the same result.
+Memory: the benchmark is cut in blocks of about ``BLOCK_BYTES`` of text, whose arrays are made
+on executors and reach the driver one block at a time. A window takes 16 bytes and its
+item's text is held once, so that a block is about 60 MB, of which a worker holds one: with
+several blocks, each batch of documents is scanned for one after the other, and blocks wait on disk.
 
 Defined results: null and empty texts have no words and no hits; items without
 words match nothing; equal items and repeated rows count each (a row for each
@@ -18,19 +19,23 @@ their windows hit; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.words import alnum_words
+from brindle.llm.words import alnum_words, fresh
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text in one broadcast at most.
-BLOCK_BYTES = 32 << 20
+#: UTF-8 bytes of benchmark text in one block, about; an item is in one block, whatever its size.
+BLOCK_BYTES = 16 << 20
+#: Words of documents that are looked up at once, about.
+WORDS_AT_ONCE = 500_000
 
 FOUND = T.StructType(
     [
@@ -43,36 +48,79 @@ FOUND = T.StructType(
 
 
 class Windows:
-    """The windows of one block of the benchmark: for each length the n-grams with their items, first and last words."""
+    """The windows of one block of the benchmark, in arrays that are sorted by hash within each window length."""
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
-        self.grams: dict[int, dict[bytes, tuple[str, ...]]] = {}
+    #: The factor between neighbours in a window's hash; odd, so that no word is lost.
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, lengths: dict[int, tuple[np.ndarray, np.ndarray]], blob: bytes, starts: np.ndarray, ids: list[list[str]]) -> None:
+        """``lengths``: for each window length its hashes, and where in ``blob`` the words begin; ``starts`` and ``ids``: of each distinct item text in it."""
+        self.lengths, self.blob, self.starts, self.ids = lengths, blob, starts, ids
+
+    @classmethod
+    def made(cls, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> Windows:
+        texts: dict[bytes, list[str]] = {}
         for item_id, text in items:
             words = alnum_words(text)
+            if words:
+                texts.setdefault(b" ".join(words), []).extend([] if item_id is None else [item_id])
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]], dtype=np.int64)[:-1]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for start, text in zip(starts.tolist(), texts):
+            words = text.split(b" ")
             n = min(window, len(words))
-            if n:
-                grams = self.grams.setdefault(n, {})
-                for i in range(len(words) - n + 1):
-                    key = b" ".join(words[i : i + n])
-                    known = grams.get(key, ())
-                    if item_id is not None and item_id not in known:
-                        known = (*known, item_id)
-                    grams[key] = known
-        self.first = {n: frozenset(k.split(b" ", 1)[0] for k in grams) for n, grams in self.grams.items()}
-        self.last = {n: frozenset(k.rsplit(b" ", 1)[-1] for k in grams) for n, grams in self.grams.items()}
-
-    def scan(self, text: bytes | None) -> tuple[int, list[list[int]], list[str]]:
-        """Number of words, merged spans of hit words (end exclusive), ids of the items found."""
-        words = alnum_words(text)
-        spans, items = [], set()
-        for n, grams in self.grams.items():
-            first, last = self.first[n], self.last[n]
-            for i in [i for i, (a, b) in enumerate(zip(words, words[n - 1 :])) if a in first and b in last]:
-                found = grams.get(b" ".join(words[i : i + n]))
-                if found is not None:
-                    spans.append([i, i + n])
-                    items.update(found)
-        return len(words), merged(spans), sorted(items)
+            at = np.array(list(accumulate((len(w) + 1 for w in words), initial=start))[: len(words) - n + 1], dtype=np.int64)
+            hashes, firsts = np.unique(cls.hashes(_word_hashes(words), n), return_index=True)
+            found.setdefault(n, []).append((hashes, at[firsts]))
+        lengths = {}
+        for n, parts in found.items():
+            hashes, at = (np.concatenate(column) for column in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            lengths[n] = hashes[order], at[order]
+        return cls(lengths, b" ".join(texts), starts, [sorted(set(ids)) for ids in texts.values()])
+
+    @classmethod
+    def hashes(cls, words: np.ndarray, n: int) -> np.ndarray:
+        """A hash of each window of n words, from the words' hashes."""
+        out = words[: len(words) - n + 1].copy()
+        for k in range(1, n):
+            out *= cls.FACTOR
+            out += words[k : len(words) - n + 1 + k]
+        return out
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
+        """For each text (its words) the spans of windows found and the ids of their items."""
+        out: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in texts]
+        every = [w for words in texts for w in words]
+        hashes, starts = _word_hashes(every), np.cumsum([0, *map(len, texts)])
+        for n, (known, at) in self.lengths.items():
+            if len(every) < n:
+                continue
+            asked = self.hashes(hashes, n)
+            place = np.searchsorted(known, asked)
+            for i in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == asked).tolist():
+                text = int(np.searchsorted(starts, i, side="right")) - 1
+                if i + n > starts[text + 1]:
+                    continue
+                words, k, hit = b" ".join(every[i : i + n]), int(place[i]), False
+                while k < len(known) and known[k] == asked[i]:
+                    begin = int(at[k])
+                    if self.blob[begin : begin + len(words)] == words and self.blob[begin + len(words) : begin + len(words) + 1] in (b" ", b""):
+                        hit = True
+                        out[text][1].update(self.ids[int(np.searchsorted(self.starts, begin, side="right")) - 1])
+                    k += 1
+                if hit:
+                    out[text][0].append([i - int(starts[text]), i - int(starts[text]) + n])
+        return out
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, each distinct word hashed once."""
+    from xxhash import xxh64_intdigest
+
+    index: dict[bytes, int] = {}
+    at = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
+    return np.array([xxh64_intdigest(w, 10) for w in index], dtype=np.uint64)[at] if words else np.zeros(0, dtype=np.uint64)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -86,48 +134,72 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scanner(windows: Broadcast) -> Callable:
+BLOCK = "lengths array<struct<n:int,hashes:binary,at:binary>>, blob binary, starts binary, ids array<array<string>>"
+
+
+def _make(items: pa.Table) -> pa.Table:
+    texts = [None if t is None else t.encode() for t in items.column("text").to_pylist()]
+    made = Windows.made(list(zip(items.column("item_id").to_pylist(), texts)))
+    lengths = [{"n": n, "hashes": h.tobytes(), "at": at.tobytes()} for n, (h, at) in made.lengths.items()]
+    one = pa.list_(pa.struct([("n", pa.int32()), ("hashes", pa.binary()), ("at", pa.binary())]))
+    return pa.table([pa.array([lengths], one), pa.array([made.blob], pa.binary()), pa.array([made.starts.tobytes()], pa.binary()), pa.array([made.ids], pa.list_(pa.list_(pa.string())))], ["lengths", "blob", "starts", "ids"])
+
+
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The benchmark's windows in parts of about ``most`` bytes of text, dealt by a hash of the text, each broadcast."""
+    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-size // most))
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(n)).alias("block"))
+    out = []
+    for row in rows.where("text is not null").groupBy("block").applyInArrow(_make, BLOCK).toLocalIterator():
+        lengths = {part.n: (np.frombuffer(part.hashes, np.uint64), np.frombuffer(part.at, np.int64)) for part in row.lengths}
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Windows(lengths, bytes(row.blob), np.frombuffer(row.starts, np.int64), row.ids)))
+    return out
+
+
+def _groups(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The texts' words, in groups of about ``WORDS_AT_ONCE``."""
+    group, size = [], 0
+    for text in texts:
+        group.append(alnum_words(text))
+        size += len(group[-1])
+        if size >= WORDS_AT_ONCE:
+            yield group
+            group, size = [], 0
+    yield group
+
+
+def _scanner(parts: list[Broadcast]) -> Callable:
+    one_block = len(parts) == 1
+
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
+        plain = texts.cast(pa.binary()).to_pylist()
+        found: list[tuple[int, list, set]] = []
+        for group in _groups(plain):
+            found += [(len(words), [], set()) for words in group]
+        for part in parts:
+            windows, row = part.value, 0
+            for group in _groups(plain):
+                for spans, ids in windows.scan(group):
+                    found[row][1].extend(spans)
+                    found[row][2].update(ids)
+                    row += 1
+            if not one_block:
+                # The next block is read from disk instead of being held beside this one.
+                del windows, part._value
         rows = []
-        for text in texts.cast(pa.binary()).to_pylist():
-            n, spans, items = windows.value.scan(text)
-            rows.append({"n_words": n, "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": items})
+        for n, spans, ids in found:
+            spans = merged(spans)
+            rows.append({"n_words": n, "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": sorted(ids)})
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
 
     return scan
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The benchmark in parts of about ``most`` bytes at most, dealt by a hash of the text."""
-    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
-    n = -(-size // most)
-    if n <= 1:
-        return [rows]
-    return [rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(2 * n)) == k) for k in range(2 * n)]
-
-
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "found", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with a column ``into``: n_words, starts and ends of hit spans in words, ids of items as strings."""
-    spark = docs.sparkSession
-    parts = blocks(benchmark, most=block_bytes)
-    for k, part in enumerate(parts):
-        windows = spark.sparkContext.broadcast(Windows([(r.item_id, r.text.encode()) for r in part.where("text is not null").toLocalIterator()]))
-        found = _scanner(windows)(F.col(text))
-        docs = docs.withColumn(into if k == 0 else "_found", found)
-        if k:
-            docs = docs.withColumn(into, _merge(F.col(into), F.col("_found"))).drop("_found")
-    return docs
-
-
-@F.arrow_udf(FOUND)
-def _merge(a: pa.Array, b: pa.Array) -> pa.Array:
-    rows = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        spans = merged([list(s) for z in (x, y) for s in zip(z["starts"], z["ends"])])
-        rows.append({"n_words": x["n_words"], "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": sorted({*x["items"], *y["items"]})})
-    return pa.array(rows, a.type)
+    """The documents with a column ``into`` (an equally named one is replaced): n_words, starts and ends of hit spans in words, ids of items as strings."""
+    return docs.withColumn(into, _scanner(blocks(benchmark, most=block_bytes))(F.col(text)))
 
 
 def hit_words(found: str = "found"):
@@ -138,8 +210,8 @@ def hit_words(found: str = "found"):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    marked = find(docs, benchmark, text, "_contamination")
-    return marked.where(F.size("_contamination.starts") == 0).drop("_contamination")
+    into = fresh(docs, "contamination")
+    return find(docs, benchmark, text, into).where(F.size(F.col(into)["starts"]) == 0).drop(into)
 
 
 def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
@@ -166,5 +238,5 @@ def _cut(texts: pa.Array, found: pa.Array) -> pa.Array:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """All documents, with hit words cut out of their texts."""
-    marked = find(docs, benchmark, text, "_contamination")
-    return marked.withColumn(text, _cut(F.col(text), F.col("_contamination"))).drop("_contamination")
+    into = fresh(docs, "contamination")
+    return find(docs, benchmark, text, into).withColumn(text, _cut(F.col(text), F.col(into))).drop(into)

@@ -4,16 +4,16 @@ A text's fingerprint has a bit for each of 64 places: 1 if the bit is set in
 over half of its shingles' hashes. Two fingerprints link if they differ in at
 most ``RADIUS`` bits. Equal fingerprints are one node from the start.
 
-Search: of RADIUS + 1 blocks of bits that cover a fingerprint, linked ones agree
-in at least one. Fingerprints that agree in a block make a shard. A shard of at
-most ``TREE_MOST`` fingerprints gets a BK-tree (children keyed by their Hamming
-distance to the parent); each fingerprint asks the tree before it enters and
-follows only edges within the radius of its own distance. The trees together are
-as large as the corpus, so that they are not broadcast: each is built in the task
-to which its shard and all of the shard's queries were dealt.
-A larger shard is searched exactly in another way: fingerprints within 2 bits
-share a neighbour within 1 bit, so each is dealt to its 65 neighbours, where at
-most 65 can meet. All its links follow, with no pairs within the shard.
+Search: of RADIUS + 1 blocks of bits, linked fingerprints agree in at least one.
+Fingerprints that agree in a block make a shard. A shard above ``TREE_MOST`` is
+split again: its members agree in the blocks so far and differ in RADIUS of the
+other bits at most, so that these are cut into RADIUS + 1 blocks in turn, until all
+shards are small (when few bits are left, there are few distinct fingerprints).
+Every shard gets a BK-tree (children keyed by their Hamming distance to the
+parent); each fingerprint asks the tree before it enters and follows only edges
+within the radius of its own distance. The trees together are as large as the
+corpus, so that they are not broadcast: each is built in the task to which its
+shard and all of the shard's queries were dealt.
 
 Components: alternating large and small stars over the links, on tables.
 
@@ -24,23 +24,25 @@ are in one component; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.plans.shared import write_shared
+from brindle.llm.words import fresh
+from brindle.plans.shared import Scratch, scratch
+from brindle.plans.sieve import bits_of, sieve, sifted
 
 RADIUS = 2
 SHINGLE = 3
 #: Fingerprints in one BK-tree at most.
 TREE_MOST = 4000
-#: Lowest bit and width of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: Rows of one fingerprint from which it is joined by broadcast. A table of n rows has n / HOT_ROWS such fingerprints at most.
+HOT_ROWS = 100_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -79,8 +81,8 @@ def fingerprint_of(texts: pa.Array) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: id and fp."""
-    return docs.select(F.col(id_col).alias("id"), fingerprint_of(F.col(text)).alias("fp"))
+    """One row a document: id, th (a hash of the text) and fp."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), fingerprint_of(F.col(text)).alias("fp"))
 
 
 def hexed(fp: Column) -> Column:
@@ -139,13 +141,15 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
         return x
 
     for value in values:
+        if value in parent:
+            continue
         parent[value] = value
         for other in tree.within(value, radius):
             a, b = top(other), top(value)
             if a != b:
                 parent[max(a, b)] = min(a, b)
         tree.add(value)
-    return [(x, root) for x in values if (root := top(x)) != x]
+    return [(x, root) for x in parent if (root := top(x)) != x]
 
 
 def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,38 +163,53 @@ def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], ["a", "b"])
 
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        values = batch.column(1).to_numpy().view(np.uint64).tolist()
+        keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        values = batch.column(2).to_numpy().view(np.uint64).tolist()
         for k, v in zip(keys, values):
             if k != key:
-                if len(members) > 1:
-                    out += shard_links(members)
+                out += shard_links(members)
                 key, members = k, []
             members.append(v)
         if len(out) > 50_000:
             yield flush()
-    if len(members) > 1:
-        out += shard_links(members)
+    out += shard_links(members)
     yield flush()
 
 
-def links(fps: DataFrame, tree_most: int = TREE_MOST) -> DataFrame:
+def cut(mask: int, parts: int = RADIUS + 1) -> list[int]:
+    """The mask with each of ``parts`` blocks of its free bits added."""
+    free = [n for n in range(64) if not mask >> n & 1]
+    bounds = [k * len(free) // parts for k in range(parts + 1)]
+    return [mask | sum(1 << n for n in free[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def links(fps: DataFrame, tree_most: int = TREE_MOST, tables: Scratch | None = None) -> DataFrame:
     """Links between distinct fingerprints that join all that are within the radius, directly or by others: columns a, b."""
-    block = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for n, (low, width) in enumerate(BLOCKS)]))
-    members = fps.select("fp", block.alias("b")).select("fp", (F.col("b.part") * len(BLOCKS) + F.col("b.n")).alias("key"))
-    sizes = write_shared(members.groupBy("key").count().where("count > 1"), "simhash-shards")
-    members = members.join(sizes, "key")
-    trees = members.where(F.col("count") <= tree_most).select("key", "fp")
-    from_trees = trees.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_shards, "a bigint, b bigint")
-    if sizes.where(F.col("count") > tree_most).isEmpty():
-        return from_trees
-    large = members.where(F.col("count") > tree_most).select("fp").distinct()
-    # 0 keeps the fingerprint itself; the others flip one bit each.
-    near = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << n if n < 63 else -(1 << 63)) for n in range(64)]))
-    meet = large.select("fp", near.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    meet = meet.groupBy("at").agg(F.collect_set("fp").alias("all")).where("size(all) > 1")
-    from_balls = meet.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a != b").distinct()
-    return from_trees.unionByName(from_balls)
+    if tables is None:
+        with scratch(fps.sparkSession) as own:
+            return own.keep(links(fps, tree_most, own), "simhash-found")
+    spark = fps.sparkSession
+    masks, members, trees = [0], fps.select("fp", F.lit(0).cast("long").alias("mask")), None
+    while True:
+        children = [(_signed(m), _signed(c)) for m in masks for c in cut(m)]
+        below = F.broadcast(spark.createDataFrame(children, "mask long, child long"))
+        dealt = members.join(below, "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("part"))
+        sizes = tables.write(dealt.groupBy("mask", "part").count().where("count > 1"), "simhash-shards")
+        dealt = dealt.join(sizes, ["mask", "part"])
+        # With RADIUS free bits there is nothing to cut, and no more than 2 ** RADIUS members.
+        is_small = (F.col("count") <= tree_most) | (F.bit_count("mask") >= 64 - RADIUS)
+        small = dealt.where(is_small).select("mask", "part", "fp")
+        trees = small if trees is None else trees.unionByName(small)
+        large = [r.mask for r in sizes.where(~is_small).select("mask").distinct().toLocalIterator()]
+        if not large:
+            break
+        masks = [m % (1 << 64) for m in large]
+        members = tables.write(dealt.where(~is_small).select("fp", "mask").distinct(), "simhash-large")
+    return trees.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(_link_shards, "a bigint, b bigint")
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -204,50 +223,90 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
-def components(found: DataFrame) -> DataFrame:
+def components(found: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """(node, root) for each node of a link but the roots; root is its component's smallest node."""
-    pairs = write_shared(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-links")
+    if tables is None:
+        with scratch(found.sparkSession) as own:
+            return own.keep(components(found, own), "simhash-components")
+    pairs = tables.write(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-links")
     before = None
     while True:
-        pairs = write_shared(_star(_star(pairs, True), False), "simhash-stars")
+        last, pairs = pairs, tables.write(_star(_star(pairs, True), False), "simhash-stars")
+        tables.drop(last)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree_most: int = TREE_MOST) -> DataFrame:
-    """One row a document: id, fp, component (a label) and component_id (its smallest id)."""
-    narrow = write_shared(fingerprints(docs, id_col, text), "simhash-fps")
-    distinct = write_shared(narrow.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), tree_most))
+def least() -> Column:
+    """The row of a component that stays, as a sort key: null ids last, then the smallest id, then the smallest hash of the text."""
+    return F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("least")
+
+
+def labels(nodes: DataFrame, found: DataFrame, tables: Scratch) -> DataFrame:
+    """Of ``nodes`` (fp, least, rows) those whose component has several rows: fp, rows, component, least of the component."""
+    roots = components(found, tables)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = distinct.join(roots, F.col("fp") == F.col("node")).drop("node")
-    least = linked.groupBy("root").agg(F.min("least").alias("over_all"))
-    linked = linked.join(least, "root").select("fp", "root", "over_all")
-    named = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("component"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("over_all")).alias("component_id")
-    )
-    return narrow.join(named, "fp")
+    linked = tables.write(nodes.select("fp", "rows", "least").join(roots, F.col("fp") == F.col("node")).drop("node"), "simhash-linked")
+    over_all = linked.groupBy("root").agg(F.min("least").alias("over_all"))
+    linked = linked.join(over_all, "root").select("fp", "rows", F.col("root").alias("component"), F.col("over_all").alias("least"))
+    alone = nodes.where("rows > 1").join(roots, F.col("fp") == F.col("node"), "left_anti")
+    return linked.unionByName(alone.select("fp", "rows", F.col("fp").alias("component"), "least"))
+
+
+def with_labels(narrow: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with component and least, null for a row that is its own component. A hot fingerprint's row is broadcast, the others are joined by key."""
+    hot = F.broadcast(named.where(F.col("rows") >= HOT_ROWS).select(F.col("fp").alias("hot_fp"), F.struct("component", "least").alias("hot")))
+    rest = named.where(F.col("rows") < HOT_ROWS).select(F.col("fp").alias("rest_fp"), F.struct("component", "least").alias("rest"))
+    rows = narrow.join(hot, F.col("fp") == F.col("hot_fp"), "left")
+    # Rows that are named already are dealt by a hash of their own; should it meet a fingerprint, the first name counts.
+    key = F.when(F.col("hot_fp").isNull(), F.col("fp")).otherwise(F.xxhash64("id", "th"))
+    rows = rows.withColumn("key", key).join(rest, F.col("key") == F.col("rest_fp"), "left")
+    label = F.coalesce("hot", "rest")
+    return rows.select(*narrow.columns, label["component"].alias("component"), label["least"].alias("least"))
+
+
+def marked(docs: DataFrame, id_col: str, text: str, tree_most: int, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, fp) and the ``labels`` of those in components of several rows."""
+    narrow = tables.write(fingerprints(docs, id_col, text), "simhash-fps")
+    nodes = tables.write(narrow.groupBy("fp").agg(least(), F.count("*").alias("rows")), "simhash-nodes")
+    return narrow, tables.write(labels(nodes, links(nodes.select("fp"), tree_most, tables), tables), "simhash-labels")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree_most: int = TREE_MOST, mark=marked) -> DataFrame:
+    """One row a document: id, fp, component (a label) and component_id (its smallest id)."""
+    with scratch(docs.sparkSession) as tables:
+        rows = with_labels(*tables.outlive(*mark(docs, id_col, text, tree_most, tables)))
+    component_id = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    return rows.select("id", "fp", F.coalesce("component", "fp").alias("component"), component_id.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = classes, mark: Callable[[Column], Column] = fingerprint_of) -> DataFrame:
-    """One row of each component, with all its columns: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree_most: int = TREE_MOST, mark=marked) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id (then with the smallest hash of the text).
 
-    Where several rows bear that id (or none bears any), the first of them by its columns' values stays.
-    ``find`` names the components, and ``mark`` is the value of a text that it calls fp.
+    Of several rows with that id and text, the one with the smallest digest of all columns stays.
+    Only rows that a sieve of those that go lets through are joined: most texts are neither shuffled nor sorted.
+    ``mark`` finds the components, as ``marked`` does.
     """
-    found = find(docs, id_col, text).where(F.col("id").eqNullSafe(F.col("component_id")))
-    heads = write_shared(found.groupBy("component", F.col("id").alias("_id")).agg(F.count("*").alias("_rows"), F.collect_set("fp").alias("_fps")), "simhash-heads")
-    by_id = heads.groupBy("_id").agg(F.sum("_rows").alias("_rows"))
-    kept = docs.join(by_id, F.col(id_col).eqNullSafe(F.col("_id")))
-    alone = kept.where("_rows = 1").select(*docs.columns)
-    shared = heads.join(by_id.where("_rows > 1").select(F.col("_id").alias("_shared")), F.col("_id").eqNullSafe(F.col("_shared")), "left_semi")
-    if shared.isEmpty():
-        return alone
-    named = shared.select("_id", "component", F.explode("_fps").alias("_fp"))
-    several = kept.where("_rows > 1").drop("_id", "_rows").withColumn("_fp1", mark(F.col(text)))
-    several = several.join(named, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp1") == F.col("_fp")))
-    first = Window.partitionBy("component").orderBy(*docs.columns)
-    several = several.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return alone.unionByName(several.select(*docs.columns))
+    with scratch(docs.sparkSession) as tables:
+        rows = with_labels(*mark(docs, id_col, text, tree_most, tables)).where("component is not null")
+        same = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th"))
+        gone = tables.keep(rows.where(~same).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "simhash-gone")
+        again = rows.where(same).groupBy(F.col("id").alias("again_id"), F.col("th").alias("again_th")).count().where("count > 1")
+        again = tables.keep(again.drop("count"), "simhash-again")
+        goes = tables.keep(sieve(gone.select(F.col("gone_th").alias("th")).union(again.select("again_th")), "th"), "simhash-sieve")
+    th, may = fresh(docs, "th"), fresh(docs, "may_go")
+    keyed = sifted(docs.withColumn(th, F.xxhash64(text)), F.col(th), goes, bits_of(goes), may)
+    stays, keyed = keyed.where(~F.col(may)), keyed.where(may).drop(may)
+
+    def at(other: DataFrame, name: str) -> Column:
+        return keyed[id_col].eqNullSafe(other[f"{name}_id"]) & (keyed[th] == other[f"{name}_th"])
+
+    left = keyed.join(gone, at(gone, "gone"), "left_anti")
+    if again.isEmpty():
+        return stays.drop(may).unionByName(left).drop(th)
+    digest = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    firsts = keyed.join(again, at(again, "again"), "left_semi").groupBy(id_col, th).agg(F.min_by(F.struct(*docs.columns), digest).alias("row"))
+    kept = stays.drop(may).unionByName(left.join(again, at(again, "again"), "left_anti"))
+    return kept.drop(th).unionByName(firsts.select("row.*"))

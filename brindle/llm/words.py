@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -30,3 +30,11 @@ def spaced_words(text: Column) -> Column:
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Words of ASCII letters, digits and all non-ASCII characters, A-Z in lower case."""
     return text.translate(_TO_WORDS).split() if text else []
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
