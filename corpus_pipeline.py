@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate, mixing, pii, quality_rules, similar
-from brindle.plans.shared import write_shared
+from brindle.plans.shared import outlived, scratch, sweep
 from brindle.sources.tables import read_table
 
 
@@ -40,13 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that the mix takes, with mix_copies (how often) and mix_words (its size); columns of these names are replaced."""
-    docs = docs.drop("mix_copies", "mix_words")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "*")
-    rows = write_shared(rows, "pipeline-rows")
-    mixed = mixing.mix(mixing.weigh(rows, keep=("_row",)))
-    copies = mixed.where("copies > 0").select(F.col("_row").alias("_taken"), F.col("copies"), F.col("size"))
-    copies = copies.withColumnsRenamed({"copies": "mix_copies", "size": "mix_words"})
-    return rows.join(copies, F.col("_row") == F.col("_taken")).drop("_row", "_taken")
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -64,9 +58,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    others = outlived(spark)
+    with scratch(spark) as tables:
+        for name, stage in STAGES:
+            before, docs = docs, tables.write(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.drop(before)
+            sweep(spark, others)
+        return tables.outlive(docs)[0]
 
 
 QUERIES = {"pipeline": run}
