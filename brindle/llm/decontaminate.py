@@ -20,6 +20,7 @@ their windows hit; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.words import alnum_words, fresh
+from xxhash import xxh64_intdigest
+
+from brindle.llm.words import TO_WORDS, alnum_words, fresh
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text in one block, about; an item is in one block, whatever its size.
 BLOCK_BYTES = 16 << 20
-#: Words of documents that are looked up at once, about.
-WORDS_AT_ONCE = 500_000
+#: Bytes of documents that are looked up at once, about.
+BYTES_AT_ONCE = 1 << 20
 
 FOUND = T.StructType(
     [
@@ -70,7 +73,7 @@ class Windows:
             words = text.split(b" ")
             n = min(window, len(words))
             at = np.array(list(accumulate((len(w) + 1 for w in words), initial=start))[: len(words) - n + 1], dtype=np.int64)
-            hashes, firsts = np.unique(cls.hashes(_word_hashes(words), n), return_index=True)
+            hashes, firsts = np.unique(cls.hashes(Words([text]).hashes, n), return_index=True)
             found.setdefault(n, []).append((hashes, at[firsts]))
         lengths = {}
         for n, parts in found.items():
@@ -88,21 +91,20 @@ class Windows:
             out += words[k : len(words) - n + 1 + k]
         return out
 
-    def scan(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
-        """For each text (its words) the spans of windows found and the ids of their items."""
-        out: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in texts]
-        every = [w for words in texts for w in words]
-        hashes, starts = _word_hashes(every), np.cumsum([0, *map(len, texts)])
+    def scan(self, group: Words) -> list[tuple[list[list[int]], set[str]]]:
+        """For each text of the group the spans of windows found and the ids of their items."""
+        out: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in group.counts]
+        starts = np.cumsum([0, *group.counts])
         for n, (known, at) in self.lengths.items():
-            if len(every) < n:
+            if len(group.hashes) < n:
                 continue
-            asked = self.hashes(hashes, n)
+            asked = self.hashes(group.hashes, n)
             place = np.searchsorted(known, asked)
             for i in np.flatnonzero(known[np.minimum(place, len(known) - 1)] == asked).tolist():
                 text = int(np.searchsorted(starts, i, side="right")) - 1
                 if i + n > starts[text + 1]:
                     continue
-                words, k, hit = b" ".join(every[i : i + n]), int(place[i]), False
+                words, k, hit = group.joined(i, n), int(place[i]), False
                 while k < len(known) and known[k] == asked[i]:
                     begin = int(at[k])
                     if self.blob[begin : begin + len(words)] == words and self.blob[begin + len(words) : begin + len(words) + 1] in (b" ", b""):
@@ -114,13 +116,57 @@ class Windows:
         return out
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, each distinct word hashed once."""
-    from xxhash import xxh64_intdigest
+class Words:
+    """The words of several texts in a row: where they are, how many each text has, and a 64-bit hash of each."""
+
+    BASE = 0x5851F42D4C957F2D
+    #: Bytes whose powers are held; a longer word is hashed on its own.
+    SPAN = 1 << 20
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        plain = [(t or b"").translate(TO_WORDS) for t in texts]
+        self.buffer = b" ".join(plain)
+        is_word = np.frombuffer(b" " + self.buffer + b" ", np.uint8) != 0x20
+        edges = np.flatnonzero(is_word[1:] != is_word[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        bounds = np.cumsum([0, *[len(t) + 1 for t in plain]])
+        self.counts = np.diff(np.searchsorted(self.starts, bounds)).tolist()
+        self.hashes = self._hashed()
+
+    def joined(self, i: int, n: int) -> bytes:
+        """n words from the i-th, with a space between them."""
+        return b" ".join(self.buffer[s:e] for s, e in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist()))
+
+    def _hashed(self) -> np.ndarray:
+        """A polynomial of each word's bytes, from sums over the bytes so far, scattered by a last multiplication."""
+        data, out, i = np.frombuffer(self.buffer, np.uint8), np.empty(len(self.starts), np.uint64), 0
+        while i < len(self.starts):
+            base = int(self.starts[i])
+            j = int(np.searchsorted(self.ends, base + self.SPAN, side="right"))
+            if j == i:
+                out[i] = xxh64_intdigest(self.buffer[base : int(self.ends[i])])
+                i += 1
+                continue
+            span = int(self.ends[j - 1]) - base
+            powers, inverse = _powers(max(1 << 12, 1 << (span - 1).bit_length()))
+            sums = np.zeros(span + 1, np.uint64)
+            np.cumsum(data[base : base + span] * powers[:span], out=sums[1:])
+            first = self.starts[i:j] - base
+            hashes = (sums[self.ends[i:j] - base] - sums[first]) * inverse[first]
+            out[i:j] = (hashes ^ (hashes >> np.uint64(32))) * Windows.FACTOR
+            i = j
+        return out
+
 
-    index: dict[bytes, int] = {}
-    at = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
-    return np.array([xxh64_intdigest(w, 10) for w in index], dtype=np.uint64)[at] if words else np.zeros(0, dtype=np.uint64)
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2^64, and their inverses."""
+    made = []
+    for base in (Words.BASE, pow(Words.BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    return made[0], made[1]
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -157,37 +203,32 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", m
     return out
 
 
-def _groups(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
-    """The texts' words, in groups of about ``WORDS_AT_ONCE``."""
+def _groups(texts: list[bytes | None]) -> Iterator[Words]:
+    """The texts' words, in groups of about ``BYTES_AT_ONCE``."""
     group, size = [], 0
     for text in texts:
-        group.append(alnum_words(text))
-        size += len(group[-1])
-        if size >= WORDS_AT_ONCE:
-            yield group
+        group.append(text)
+        size += len(text or b"")
+        if size >= BYTES_AT_ONCE:
+            yield Words(group)
             group, size = [], 0
-    yield group
+    yield Words(group)
 
 
 def _scanner(parts: list[Broadcast]) -> Callable:
-    one_block = len(parts) == 1
-
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
-        plain = texts.cast(pa.binary()).to_pylist()
         found: list[tuple[int, list, set]] = []
-        for group in _groups(plain):
-            found += [(len(words), [], set()) for words in group]
-        for part in parts:
-            windows, row = part.value, 0
-            for group in _groups(plain):
-                for spans, ids in windows.scan(group):
-                    found[row][1].extend(spans)
-                    found[row][2].update(ids)
-                    row += 1
-            if not one_block:
-                # The next block is read from disk instead of being held beside this one.
-                del windows, part._value
+        for group in _groups(texts.cast(pa.binary()).to_pylist()):
+            spans, ids = [[] for _ in group.counts], [set() for _ in group.counts]
+            for part in parts:
+                for k, (its_spans, its_ids) in enumerate(part.value.scan(group)):
+                    spans[k] += its_spans
+                    ids[k] |= its_ids
+                if len(parts) > 1:
+                    # The next block is read from disk instead of being held beside this one.
+                    del part._value
+            found += zip(group.counts, spans, ids)
         rows = []
         for n, spans, ids in found:
             spans = merged(spans)
@@ -216,9 +257,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
 
 def cut_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     """The text without the words of the spans and what stands between them; the rest stays byte for byte."""
-    from brindle.llm.words import _TO_WORDS
-
-    plain, at, bounds = text.translate(_TO_WORDS), 0, []
+    plain, at, bounds = text.translate(TO_WORDS), 0, []
     for word in plain.split():
         at = plain.index(word, at)
         bounds.append((at, at + len(word)))

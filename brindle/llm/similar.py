@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from brindle.llm import simhash
 from brindle.llm.simhash import BKTree, components, labels, least, majority, shingle_hashes
-from brindle.plans.shared import Scratch
+from brindle.plans.shared import Scratch, scratch
 from brindle.plans.sieve import bits_of, sieve, sifted
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _search(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join what is similar; ``dealt`` has band, i, j (the task's key), role, fp, bits, root."""
-    rows = dealt.join(sets, "fp").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "role", "fp")
+    rows = dealt.join(sets, "th").drop("th").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "role", "fp")
     return rows.mapInArrow(_search_shards, "a bigint, b bigint")
 
 
@@ -204,7 +204,7 @@ def _large_shards(members: DataFrame, sets: DataFrame, tree_most: int, tables: S
     pivots = tables.write(members.groupBy("band").agg(F.max(F.struct("score", "fp"))["fp"].alias("pivot")), "similar-pivots")
     members = members.join(pivots, "band").withColumn("parts", _chunks(F.col("n"), F.col("of_all"), tree_most))
     is_pivot = F.col("fp") == F.col("pivot")
-    row = [F.col("fp"), F.col("bits"), F.col("fp").alias("root")]
+    row = [F.col("th"), F.col("fp"), F.col("bits"), F.col("fp").alias("root")]
     stars = members.where(is_pivot).select("band", F.lit(0).alias("i"), _every(F.col("parts")).alias("j"), F.lit(ENTERS).alias("role"), *row)
     stars = stars.unionByName(members.where(~is_pivot).select("band", F.lit(0).alias("i"), _chunk_of(F.col("parts"), 1).alias("j"), F.lit(ASKS).alias("role"), *row))
     stars = tables.write(_search(stars, sets), "similar-stars")
@@ -215,7 +215,7 @@ def _large_shards(members: DataFrame, sets: DataFrame, tree_most: int, tables: S
     members = members.withColumns({"root": F.coalesce("r", "fp"), "open": F.coalesce("r", "fp") != F.coalesce("p", "pivot")}).drop("r", "p")
     counts = members.where("open").groupBy("band").agg(F.count("*").alias("n_open"), F.sum("weight").alias("of_open"))
     members = tables.write(members.join(counts, "band").withColumn("trees", _chunks(F.col("n_open"), F.col("of_open"), tree_most)), "similar-open")
-    row = [F.col("fp"), F.col("bits"), F.col("root")]
+    row = [F.col("th"), F.col("fp"), F.col("bits"), F.col("root")]
     enter = members.where("open").select("band", _chunk_of(F.col("trees"), 2).alias("i"), _every(F.col("parts")).alias("j"), F.lit(ENTERS).alias("role"), *row)
     ask = members.select("band", _every(F.col("trees")).alias("i"), _chunk_of(F.col("parts"), 1).alias("j"), F.lit(ASKS).alias("role"), *row)
     return stars, enter.unionByName(ask)
@@ -230,32 +230,35 @@ def links(docs: DataFrame, text: str, nodes: DataFrame, tree_most: int, tables:
     members = tables.write(banded.join(shards, "band"), "similar-banded")
     known = nodes.select("fp", "bits", F.col("least.th").alias("th"))
     needed = tables.write(known.join(members.select("fp"), "fp", "left_semi"), "similar-needed")
-    members = tables.write(members.join(needed.drop("th"), "fp"), "similar-members")
+    members = tables.write(members.join(needed, "fp"), "similar-members")
 
     # Texts that aren't needed stop in the scan; of each needed one copies are put together before the shuffle.
     wanted = tables.write(sieve(needed, "th"), "similar-sieve")
     texts = sifted(docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")), F.col("th"), wanted, bits_of(wanted), "may").where("may")
     texts = texts.join(needed.select("th"), "th", "left_semi")
-    texts = texts.groupBy("th").agg(F.first("t").alias("t"))
-    sets = tables.write(needed.select("th", "fp").join(texts, "th").select("fp", shingles_of("t").alias("members")), "similar-sets")
+    sets = texts.groupBy("th").agg(F.first("t").alias("t")).select("th", shingles_of("t").alias("members"))
 
     is_large = (F.col("n") > tree_most) | (F.col("of_all") > WEIGHT_MOST)
     whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(BOTH).alias("role")]
-    dealt = members.where(~is_large).select("band", *whole, "fp", "bits", F.col("fp").alias("root"))
+    dealt = members.where(~is_large).select("band", *whole, "th", "fp", "bits", F.col("fp").alias("root"))
     if shards.where(is_large).isEmpty():
-        return tables.write(_search(dealt, sets), "similar-links")
+        return _search(dealt, sets)
+    sets = tables.write(sets, "similar-sets")
     stars, rest = _large_shards(members.where(is_large), sets, tree_most, tables)
-    return stars.unionByName(tables.write(_search(dealt.unionByName(rest), sets), "similar-links"))
+    return stars.unionByName(_search(dealt.unionByName(rest), sets))
 
 
 def marked(docs: DataFrame, id_col: str, text: str, tree_most: int, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, fp: a hash of the shingle set) and the labels of those in components of several rows."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), sketch_of(F.col(text)).alias("s"))
-    sketches = tables.write(rows.select("id", "th", "s.*"), "similar-sketches")
+    sketches = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), sketch_of(F.col(text)).alias("s"))
+    sketches = tables.write(sketches.select("id", "th", "s.*"), "similar-sketches")
     one = [F.first(c).alias(c) for c in ("bits", "weight", "bands")]
     nodes = tables.write(sketches.groupBy("fp").agg(least(), F.count("*").alias("rows"), *one), "similar-nodes")
-    found = labels(nodes, links(docs, text, nodes, tree_most, tables), tables)
-    return tables.write(sketches.select("id", "th", "fp"), "similar-rows"), tables.write(found, "similar-labels")
+    rows = tables.write(sketches.select("id", "th", "fp"), "similar-rows")
+    tables.drop(sketches)
+    with scratch(docs.sparkSession) as own:
+        found = tables.write(links(docs, text, nodes, tree_most, own), "similar-links")
+    return rows, tables.write(labels(nodes, found, tables), "similar-labels")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tree_most: int = TREE_MOST) -> DataFrame:

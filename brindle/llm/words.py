@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 #: Byte table for ``alnum_words``: A-Z to a-z, other ASCII but digits and a-z to a space; bytes from 0x80 stay.
-_TO_WORDS = bytes(
+TO_WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
 )
@@ -29,7 +29,7 @@ def spaced_words(text: Column) -> Column:
 
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Words of ASCII letters, digits and all non-ASCII characters, A-Z in lower case."""
-    return text.translate(_TO_WORDS).split() if text else []
+    return text.translate(TO_WORDS).split() if text else []
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -152,8 +152,10 @@ def test_cascade_order_is_the_same_on_each_run(docs):
 
 def test_windows_end_with_words():
     windows = decontaminate.Windows.made([("a", b"one two"), ("b", b"two threes"), (None, b"six"), ("c", b"One, two!")])
-    hits = windows.scan([[b"one", b"two", b"three"], [b"x", b"two", b"threes"], [b"six", b"one"], [b"two"], []])
-    assert hits == [([[0, 2]], {"a", "c"}), ([[1, 3]], {"b"}), ([[0, 1]], set()), ([], set()), ([], set())]
+    group = decontaminate.Words([b"One two, three", b"x two threes", b"six\xc3\xa9 SIX one", b"two", None, b"y" * (1 << 21) + b" six"])
+    assert group.counts == [3, 3, 3, 1, 0, 2]
+    hits = windows.scan(group)
+    assert hits == [([[0, 2]], {"a", "c"}), ([[1, 3]], {"b"}), ([[1, 2]], set()), ([], set()), ([], set()), ([[1, 2]], set())]
 
 
 def test_own_weight_multiplies_the_odds(spark):
