@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -205,3 +207,81 @@ def test_edges(spark, edge):
     assert [r.f.n_words for r in rows] == [0, 0, 0, 1, 40_000, 3, 3]
     pages = html_text.extract(edge.withColumnRenamed("text", "html"))
     assert pages.count() == len(EDGE) and pages.limit(0).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 600 + "a<script>var x=1;</script><p hidden>no</p><style>b{}</style>z", "az"),
+        ("<table><td>a<td>b<tr><td>c", "a  b\nc"),
+        (f"<table><tr><td>{'w' * 60}<td>b<tr><td>c<td>d</table>", f"{'w' * 60}  b\nc{' ' * 61}d"),
+        ("<table><td>x<table><td>1<td>2<tr><td>33<td>4</table><td>y</table>", "x      y\n\n1   2\n33  4"),
+        ("<table><tr><td rowspan=2>a<td colspan=2>b<td>c<tr><td>d<td>e<td>f</table>", "a  b     c\n   d  e  f"),
+        ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no", "yes"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "  yes"),
+        ("<p style='display:none'>no<b style='visibility:visible'>no</b>", ""),
+        ("<p hidden style='display:block'>yes", "yes"),
+        ("<ruby>kan<rp>(</rp><rt>ji</rt><rp>)</rp></ruby>", "kanji"),
+        ("a < b &amp; c <3 &lt;i&gt; &copy 1", "a < b & c <3 <i> © 1"),
+        ("<tr><td>in</td></tr> text", "in text"),
+        ("<!--> a <!---> b <!-- - -- no --!> c <!doctype no> d <?no?> e </ no> f </> g", "a b c d e f g"),
+        ("<script>'</scripts>'</SCRIPT >a<textarea>&lt;b></textarea>c<title>no &amp;</title>", "a <b>c"),
+        ("<a title='>' b=\"'\" c=>x</a y='>'>z", "xz"),
+        ("a<b c='no end> d", "a"),
+    ],
+)
+def test_html_tokens_tables_and_visibility(page, text):
+    assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a b='", "<!--", "<p<p", "<", "</", "&", "<script>", "<table><tr><td>x", "<ul><li>x", "<svg><p>", "<p>", "<td rowspan=1000 colspan=1000>x<tr>", "<p style='(a", "<![CDATA["])
+def test_html_is_linear(piece):
+    began = time.perf_counter()
+    html_text.visible_text("<table>" * ("rowspan" in piece) + piece * (200_000 // len(piece)))
+    assert time.perf_counter() - began < 5
+
+
+class PlainPage(HTMLParser):
+    """Words of a page in order, without any layout: another reading of what is visible, for pages without styles."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden, self.lists = "", 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "script", "style")
+        if tag == "body":
+            self.hidden = 0
+        if tag in ("ul", "ol"):
+            self.lists.append(0 if tag == "ol" else None)
+        self.words += "" if tag in ("a", "b", "i", "span") else " "
+        if tag == "li":
+            self.lists[-1] = self.lists[-1] and self.lists[-1] + 1
+            self.words += "- " if self.lists[-1] is None else f"{self.lists[-1]}. "
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "script", "style")
+        self.words += "" if tag in ("a", "b", "i", "span") else " "
+
+    def handle_data(self, data):
+        self.words += "" if self.hidden else data
+
+
+def test_html_query_against_plain_reading(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = QUERIES["op10_html_text"](spark, sf).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for row in rows:
+        plain = PlainPage()
+        plain.feed(pages[row.page_id] or "")
+        plain.close()
+        assert row.text.split() == plain.words.split() and row.n_chars == len(row.text)
+
+
+def test_html_edge_rows(spark):
+    rows = [(1, None, "clash"), (2, "", "clash"), (2, "<p>a", "clash"), (2, "<p>a", "clash"), (None, "x" * 500_000, "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_text.extract(pages)
+    assert got.columns == pages.columns and sorted(len(r.text) for r in got.collect()) == [0, 0, 1, 1, 500_000]
+    assert html_text.extract(pages.limit(0)).count() == 0
