@@ -1,4 +1,4 @@
-"""Command line: create, drop, index, merge, search."""
+"""Command line: create, drop, index, merge, vacuum, search."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--catalog", required=True, help="folder of the catalog, in any store that Spark reads")
     verbs = parser.add_subparsers(dest="verb", required=True)
     verbs.add_parser("create").add_argument("config", help="YAML file")
-    for verb in ("drop", "merge", "index", "search"):
+    for verb in ("drop", "merge", "vacuum", "index", "search"):
         verbs.add_parser(verb).add_argument("name")
     index, search = verbs.choices["index"], verbs.choices["search"]
     index.add_argument("input", nargs="?", help="path or kafka://servers/topic; standard input if left out")
@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> None:
         catalog.drop(args.name)
     elif args.verb == "merge":
         catalog.merge(args.name)
+    elif args.verb == "vacuum":
+        catalog.vacuum(args.name)
     elif args.verb == "search":
         for row in catalog.search(args.name, args.query, args.limit).toLocalIterator():
             print(row.json)

@@ -84,7 +84,7 @@ def epoch_time(number: Column) -> Column:
     made = F.when(number.between(low, high), F.timestamp_seconds(number))
     made = made.when(number.between(low * 1000, high * 1000 + 999), F.timestamp_millis(number))
     made = made.when(number.between(low * 10**6, high * 10**6 + 999_999), F.timestamp_micros(number))
-    return made.when(number >= low * 10**9, F.timestamp_micros(F.floor(number / 1000).cast("bigint")))
+    return made.when(number >= low * 10**9, F.timestamp_micros(F.call_function("div", number, F.lit(1000))))
 
 
 def format_time(text: Column, name: str) -> Column:

@@ -1,7 +1,8 @@
 """The catalog: named indexes as folders of Parquet with a versioned manifest.
 
 A manifest version is one JSON file, created exclusively; it lists the folders that are
-the index. Writing data first and publishing then makes a commit atomic; a writer
+the index. Each file group has its documents and, sorted by term, their postings, which lead a search
+to the documents that can match; a file's counts stand in the manifest. Writing data first and publishing then makes a commit atomic; a writer
 that loses the race for a version reads again and retries. All files go through
 Hadoop's file system, so that any store Spark writes to will do (its create must
 be exclusive).
@@ -10,21 +11,28 @@ be exclusive).
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.config import IndexConfig, from_dict, load
 from brindle.functions.parse import ERRORS, LINE, parse_documents
-from brindle.operators.search import matches, ranked, result_json, top
-from brindle.plans.bind import Searchable
+from brindle.operators.search import Statistics, matches, needed_terms, postings, ranked, result_json, text_terms, top
+from brindle.plans.bind import Searchable, field_tokens
 from brindle.plans.grammar import parse_query
 from brindle.session import configure
 
-FILE_ID = "_file"
+FILE_ID, DOC_ID = "_file", "_doc"
 RETRIES = 20
+#: Postings in one Parquet file, about.
+POSTINGS_PER_FILE = 10_000_000
+#: How long replaced file groups stay, and how many manifest versions.
+GRACE_SECONDS, MANIFESTS_KEPT = 3600.0, 100
 
 
 class CatalogError(RuntimeError):
@@ -122,7 +130,8 @@ class Catalog:
         file_id = uuid.uuid4().hex
         path = self._data(name, file_id)
         try:
-            parsed.where(F.size(ERRORS) == 0).drop(ERRORS, LINE).write.parquet(path)
+            good = parsed.where(F.size(ERRORS) == 0).drop(ERRORS, LINE)
+            good.select(F.monotonically_increasing_id().alias(DOC_ID), "*").write.parquet(path)
         except Exception as error:
             if "not a JSON object" in str(error):
                 raise BadLineError(str(error).splitlines()[0]) from error
@@ -130,16 +139,40 @@ class Catalog:
         empty = self.spark.read.parquet(path).isEmpty()
         if empty:
             self._fs.delete(self._path(path), True)
+        facts = {} if empty else self._invert(name, file_id, config)
 
         def add(manifest: dict) -> dict | None:
             if batch and manifest["batches"].get(batch[0], -1) >= batch[1]:
                 return None
             batches = manifest["batches"] | ({batch[0]: batch[1]} if batch else {})
-            return {"files": manifest["files"] + ([] if empty else [file_id]), "batches": batches}
+            more = [] if empty else [file_id]
+            return manifest | {"files": manifest["files"] + more, "batches": batches, "facts": manifest.get("facts", {}) | {f: facts for f in more}}
 
         done = self._publish(name, add) if batch or not empty else False
         return file_id if done and not empty else None
 
+    def _postings(self, name: str, file_id: str) -> str:
+        return f"{self.root}/{name}/postings/{file_id}"
+
+    def _invert(self, name: str, file_id: str, config: IndexConfig) -> dict:
+        """Write the postings of a file group; returns its number of documents and of tokens by field.
+
+        Files are ranges of (field, term, document), so that a term is read from few files and a frequent one isn't one task's.
+        """
+        table = Searchable.of(self.spark.read.parquet(self._data(name, file_id)), config)
+        fields, found = [f for f in config.leaves() if f.kind == "text" and f.indexed and f.tokenizer != "raw"], None
+        for field in fields:
+            part = postings(table, field, DOC_ID).select(F.lit(field.name).alias("field"), "term", F.col("id").alias(DOC_ID), "tf", "positions")
+            found = part if found is None else found.unionByName(part)
+        facts = {"documents": table.df.count(), "lengths": {}}
+        if found is not None:
+            path = self._postings(name, file_id)
+            sizes = table.df.agg(*[F.sum(F.greatest(F.size(field_tokens(f)), F.lit(0))).alias(f"n{k}") for k, f in enumerate(fields)]).first()
+            facts["lengths"] = {f.name: sizes[k] or 0 for k, f in enumerate(fields)}
+            parts = max(1, -(-sum(facts["lengths"].values()) // POSTINGS_PER_FILE))
+            found.repartitionByRange(parts, "field", "term", DOC_ID).sortWithinPartitions("field", "term", DOC_ID).write.parquet(path)
+        return facts
+
     def rejects(self, name: str, lines: DataFrame) -> DataFrame:
         """Lines that wouldn't be indexed, with the fields at fault."""
         return parse_documents(lines, self.config(name)).where(F.size(ERRORS) > 0).select(LINE, ERRORS)
@@ -156,16 +189,50 @@ class Catalog:
         df = self.read(name)
         return None if df is None else Searchable.of(df, self.config(name))
 
-    def search(self, name: str, query: str, limit: int = 1, ranking: bool = True, per_file: bool = False) -> DataFrame:
-        """The best ``limit`` documents as JSON; ``per_file`` takes that many of each file group, as single-file engines do."""
+    def candidates(self, name: str, table: Searchable, query: str) -> tuple[Searchable, Statistics | None]:
+        """The documents that can match by their postings, and the index's statistics; the whole table if its terms don't tell."""
+        _, manifest = self._manifest(name)
+        needed, facts = needed_terms(table, parse_query(query)), manifest.get("facts", {})
+        if needed is None or any(f not in facts for f in manifest["files"]):
+            return table, None
+        asked: list[tuple[str, str]] = []
+
+        def has(field: str, token: str) -> Column:
+            if (field, token) not in asked:
+                asked.append((field, token))
+            return F.col(f"has{asked.index((field, token))}")
+
+        wanted = needed(has)
+        scored = {(f.name, token) for f, token, _ in text_terms(table, parse_query(query))}
+        if scored - set(asked):
+            return table, None
+        one_of = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == t) for f, t in asked])
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        found = self.spark.read.parquet(*[self._postings(name, f) for f in manifest["files"]]).where(one_of).select("field", "term", DOC_ID, folder.alias(FILE_ID))
+        counts = {(r.field, r.term): r["count"] for r in found.groupBy("field", "term").count().toLocalIterator()}
+        flags = [F.bool_or((F.col("field") == f) & (F.col("term") == t)).alias(f"has{k}") for k, (f, t) in enumerate(asked)]
+        docs = found.groupBy(FILE_ID, DOC_ID).agg(*flags).where(wanted).select(FILE_ID, DOC_ID)
+        lengths: dict[str, int] = {}
+        for f in manifest["files"]:
+            for field, n in facts[f]["lengths"].items():
+                lengths[field] = lengths.get(field, 0) + n
+        known = Statistics(sum(facts[f]["documents"] for f in manifest["files"]), lengths, counts)
+        return replace(table, df=table.df.join(docs, [FILE_ID, DOC_ID], "left_semi")), known
+
+    def search(self, name: str, query: str, limit: int = 1, ranking: bool = True, per_file: bool = False, by_postings: bool = True) -> DataFrame:
+        """The best ``limit`` documents as JSON; ``per_file`` takes that many of each file group, as single-file engines do.
+
+        Without ``by_postings`` all documents are read, which gives the same.
+        """
         parse_query(query)
         config, table = self.config(name), self.table(name)
         if table is None or limit == 0:
             return self.spark.createDataFrame([], "json string")
+        table, known = self.candidates(name, table, query) if by_postings else (table, None)
         if not ranking:
             return result_json(matches(table, query).limit(limit), config)
         # Equal scores need some total order: that of the documents' own text.
-        hits = ranked(table, query).withColumn("_tie", F.xxhash64(*[f"`{f.name}`" for f in config.leaves() if f.kind != "dynamic_object"], F.to_json("_dynamic")))
+        hits = ranked(table, query, known).withColumn("_tie", F.xxhash64(*[f"`{f.name}`" for f in config.leaves() if f.kind != "dynamic_object"], F.to_json("_dynamic")))
         return result_json(top(hits, limit, [FILE_ID, "_tie"], FILE_ID if per_file else None), config)
 
     def merge(self, name: str, rows_per_file: int = 5_000_000) -> str | None:
@@ -174,21 +241,40 @@ class Catalog:
         if len(old) < 2:
             return None
         file_id = uuid.uuid4().hex
-        df = self.read(name).drop(FILE_ID)
+        df = self.read(name).drop(FILE_ID, DOC_ID)
         # A coalesce would leave one task with everything; files of bounded size come from an even deal.
         parts = -(-df.count() // rows_per_file)
-        df.repartition(max(1, parts)).write.parquet(self._data(name, file_id))
+        df.repartition(max(1, parts)).select(F.monotonically_increasing_id().alias(DOC_ID), "*").write.parquet(self._data(name, file_id))
+        facts = self._invert(name, file_id, self.config(name))
 
         def swap(manifest: dict) -> dict:
             if set(old) - set(manifest["files"]):
                 raise CatalogError(f"index {name!r} was merged or dropped meanwhile")
-            return manifest | {"files": [f for f in manifest["files"] if f not in old] + [file_id]}
+            kept = {f: its for f, its in manifest.get("facts", {}).items() if f not in old}
+            retired = manifest.get("retired", []) + [[f, time.time()] for f in old]
+            return manifest | {"files": [f for f in manifest["files"] if f not in old] + [file_id], "facts": kept | {file_id: facts}, "retired": retired}
 
         self._publish(name, swap)
-        for gone in old:
-            self._fs.delete(self._path(self._data(name, gone)), True)
         return file_id
 
+    def vacuum(self, name: str, older_than: float = GRACE_SECONDS) -> list[str]:
+        """Delete file groups that merges replaced more than ``older_than`` seconds ago, so that searches under way can end, and old manifests."""
+        self.config(name)
+        gone: list[str] = []
+
+        def forget(manifest: dict) -> dict | None:
+            gone[:] = [f for f, at in manifest.get("retired", []) if time.time() - at >= older_than]
+            return manifest | {"retired": [r for r in manifest["retired"] if r[0] not in gone]} if gone else None
+
+        self._publish(name, forget)
+        for f in gone:
+            self._fs.delete(self._path(self._data(name, f)), True)
+            self._fs.delete(self._path(self._postings(name, f)), True)
+        folder = f"{self.root}/{name}/manifest"
+        for old in self._names(folder)[:-MANIFESTS_KEPT]:
+            self._fs.delete(self._path(f"{folder}/{old}"), False)
+        return gone
+
     def drop(self, name: str) -> None:
         """Remove an index: its configuration first, then what it held."""
         self.config(name)

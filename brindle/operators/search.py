@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from brindle.config import DYNAMIC, Field, IndexConfig
 from brindle.functions.parse import json_path
 from brindle.functions.tokenize import literal_tokens, tokens
 from brindle.plans.bind import Searchable, column, field_tokens, predicate, scored_leaves
-from brindle.plans.grammar import Node, Term, parse_query
+from brindle.plans.grammar import Boolean, Node, Term, parse_query
 
 K1, B = 1.2, 0.75
 SCORE = "score"
@@ -20,7 +24,7 @@ def matches(table: Searchable, query: str) -> DataFrame:
     return table.df.where(predicate(table, parse_query(query)))
 
 
-def _text_terms(table: Searchable, node: Node) -> list[tuple[Field, str, float]]:
+def text_terms(table: Searchable, node: Node) -> list[tuple[Field, str, float]]:
     """(field, token, boost) for every text term of a query that can score; phrases score by their tokens."""
     found = []
     for leaf, boost in scored_leaves(node):
@@ -44,25 +48,32 @@ def _counted(table: Searchable, terms: list[tuple[Field, str, float]]) -> DataFr
     return df.select("*", *tf, *lengths).drop(*[f"_tok{n}" for n in range(len(fields))])
 
 
-def ranked(table: Searchable, query: str) -> DataFrame:
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs of the whole table: documents, tokens by field, and documents that hold a (field, term)."""
+
+    documents: int
+    lengths: dict[str, int]
+    holding: dict[tuple[str, str], int]
+
+
+def ranked(table: Searchable, query: str, known: Statistics | None = None) -> DataFrame:
     """The rows that match with their BM25 score, by statistics over the whole table.
 
-    One aggregation without a shuffle of rows gives counts and lengths: one row, as wide as the query.
-    A leaf that isn't text adds its boost to each match that has no text term.
+    Without ``known`` statistics, one aggregation without a shuffle of rows gives them: one row, as wide as the
+    query. With them the table may be any part that has all matches. A leaf that isn't text adds its boost
+    to each match that has no text term.
     """
     node = parse_query(query)
-    terms = _text_terms(table, node)
+    terms = text_terms(table, node)
     if not terms:
         return matches(table, query).withColumn(SCORE, F.lit(float(node.boost)))
     counted = _counted(table, terms)
-    facts = counted.agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))],
-        *[F.sum(F.greatest(F.col(f"_len{k}"), F.lit(0))).alias(f"sum{k}") for k in range(len(terms))],
-    ).first()
+    known = known or _statistics(counted, terms)
     score = F.lit(0.0)
-    for k, (_, _, boost) in enumerate(terms):
-        n, df, mean = facts["n"], facts[f"df{k}"], (facts[f"sum{k}"] or 0) / max(facts["n"], 1)
+    for k, (field, token, boost) in enumerate(terms):
+        n, df = known.documents, known.holding.get((field.name, token), 0)
+        mean = known.lengths.get(field.name, 0) / max(n, 1)
         idf = F.log(F.lit(1.0) + (F.lit(float(n - df)) + 0.5) / (F.lit(float(df)) + 0.5))
         tf = F.greatest(F.col(f"_tf{k}"), F.lit(0)).cast("double")
         norm = K1 * (1 - B + B * F.col(f"_len{k}") / F.lit(mean or 1.0))
@@ -71,6 +82,16 @@ def ranked(table: Searchable, query: str) -> DataFrame:
     return hits.drop(*[f"_{kind}{k}" for kind in ("tf", "len") for k in range(len(terms))])
 
 
+def _statistics(counted: DataFrame, terms: list[tuple[Field, str, float]]) -> Statistics:
+    facts = counted.agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))],
+        *[F.sum(F.greatest(F.col(f"_len{k}"), F.lit(0))).alias(f"sum{k}") for k in range(len(terms))],
+    ).first()
+    lengths = {field.name: facts[f"sum{k}"] or 0 for k, (field, _, _) in enumerate(terms)}
+    return Statistics(facts["n"], lengths, {(field.name, token): facts[f"df{k}"] for k, (field, token, _) in enumerate(terms)})
+
+
 def top(hits: DataFrame, limit: int, ties: list[str], per: str | None = None) -> DataFrame:
     """The best ``limit`` by score, then by ``ties``; of each value of ``per`` if that is given."""
     order = [F.col(SCORE).desc(), *[F.col(t) for t in ties]]
@@ -142,6 +163,28 @@ def postings(table: Searchable, field: Field, id_col: str) -> DataFrame:
     return grouped.select("term", "id", "tf", "positions")
 
 
+def needed_terms(table: Searchable, node: Node) -> Callable[[Callable[[str, str], Column]], Column] | None:
+    """What of a tree's text terms a match must have, as a function of "has (field, token)"; null if any row could match.
+
+    It holds for more rows than the tree: phrases count by their tokens, and what isn't text is left open.
+    """
+    if isinstance(node, Boolean):
+        if node.must:
+            parts = [p for p in (needed_terms(table, n) for n in node.must) if p]
+            return (lambda has: reduce(lambda a, b: a & b, [p(has) for p in parts])) if parts else None
+        some = [needed_terms(table, n) for n in node.should]
+        return (lambda has: reduce(lambda a, b: a | b, [p(has) for p in some])) if some and all(some) else None
+    if not isinstance(node, Term) or node.prefix:
+        return None
+    targets = table.targets(node.field)
+    if any(field.kind != "text" or field.tokenizer == "raw" for field, _ in targets):
+        return None
+    by_field = [(field.name, literal_tokens(node.text, field.tokenizer)) for field, _ in targets]
+    if any(not words for _, words in by_field):
+        return None
+    return lambda has: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has(name, w) for w in words]) for name, words in by_field])
+
+
 def postings_search(found: DataFrame, terms: list[str]) -> DataFrame:
     """Ids with all the terms, from a postings table."""
     hits = found.where(F.col("term").isin(*terms)).groupBy("id").agg(F.countDistinct("term").alias("n"))

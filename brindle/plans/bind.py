@@ -1,8 +1,9 @@
 """Query trees bound to a table's fields: predicates and scored terms as Columns.
 
 An undeclared name is looked up in every dynamic field; a dynamic value is
-compared in each reading that the literal allows. Bare terms search every default
-field whose type the literal fits (a dynamic field needs a path).
+compared in each reading that the literal allows; where an array stands on its path, each
+element is followed. Bare terms search every default field whose type the literal fits, and
+the text of every string in a dynamic one.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.config import DYNAMIC, Field, IndexConfig, split_name
-from brindle.functions.parse import address_name, is_number, json_path, kind_of
+from brindle.functions.parse import address_name, format_time, is_number, json_path, kind_of
 from brindle.functions.tokenize import literal_tokens, tokens
 from brindle.plans.grammar import Among, Boolean, Everything, Exists, Node, QuerySyntaxError, Range, Term
 
 
+#: The undeclared keys of a document.
+SPILL_OVER = Field((DYNAMIC,), "dynamic_object", {"indexed": True, "expand_dots": True})
+
+
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -49,7 +54,7 @@ class Searchable:
                 return [self._indexed(field, parts[len(here) :])]
         found = [(f, parts) for f in self.fields if f.kind == "dynamic_object" and f.indexed]
         if self.dynamic:
-            found.append((Field((DYNAMIC,), "dynamic_object", {"indexed": True, "expand_dots": True}), parts))
+            found.append((SPILL_OVER, parts))
         if not found:
             raise QuerySyntaxError(f"no field {name!r}")
         return found
@@ -61,7 +66,9 @@ class Searchable:
         return field, rest
 
     def targets(self, name: str | None) -> list[tuple[Field, list[str]]]:
-        return self.resolve(name) if name is not None else [(f, []) for f in self.fields if f.indexed and f.kind != "dynamic_object"]
+        if name is not None:
+            return self.resolve(name)
+        return [(f, []) for f in self.fields if f.indexed] + ([(SPILL_OVER, [])] if self.dynamic else [])
 
 
 def _any(parts: list[Column]) -> Column:
@@ -69,29 +76,40 @@ def _any(parts: list[Column]) -> Column:
 
 
 def phrase(words: Column, wanted: list[str], slop: int = 0, prefix: bool = False) -> Column:
-    """Whether the tokens stand in this order, with at most ``slop`` others between; the last may be a prefix."""
+    """Whether the tokens stand in this order, with at most ``slop`` others between; the last may be a prefix.
+
+    Tokens of several words' literals hold no space, so that they are compared as one string with
+    single spaces: a search in it for slop 0; for slop a bounded pattern, which for more than two
+    words is followed by one pass over the tokens.
+    """
     n = len(wanted)
     if n == 0:
         return F.lit(False)
-
-    def fits(k: int, t: Column) -> Column:
-        return t.startswith(wanted[k]) if prefix and k == n - 1 else t == wanted[k]
-
     if n == 1:
-        return F.exists(words, lambda t: fits(0, t)) if prefix else F.array_contains(words, wanted[0])
-    starts = F.filter(F.transform(words, lambda t, i: F.when(t == wanted[0], i)), lambda i: i.isNotNull())
+        return F.exists(words, lambda t: t.startswith(wanted[0])) if prefix else F.array_contains(words, wanted[0])
+    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     if slop == 0:
-        return F.exists(starts, lambda i: reduce(lambda a, b: a & b, [F.coalesce(fits(k, F.get(words, i + k)), F.lit(False)) for k in range(1, n)]))
+        return F.contains(joined, F.lit(f" {' '.join(wanted)}{'' if prefix else ' '}"))
+    near = joined.rlike(" " + f"(?:[^ ]+ ){{0,{slop}}}".join(re.escape(w) + " " for w in wanted))
+    return near if n == 2 else near & _within(words, wanted, slop)
+
+
+def _within(words: Column, wanted: list[str], slop: int) -> Column:
+    """The same in one pass: for each number of words found in order the latest place where they began, and whether all fitted."""
+    n = len(wanted)
+    nowhere = -(slop + n + 1)
+    begun = [f"b{k}" for k in range(n - 1)]
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("found"), *[F.lit(nowhere).alias(b) for b in begun])
 
-    def end(start: Column) -> Column:
-        # The earliest place of each next token; null when there is none.
-        at = start
-        for w in wanted[1:]:
-            step = F.array_position(F.slice(words, at + 2, F.size(words)), w).cast("int")
-            at = F.when(step > 0, at + step)
-        return at
+    def step(state: Column, t: Column) -> Column:
+        at = state["at"]
+        made = [F.when(t == wanted[0], at).otherwise(state["b0"]).alias("b0")]
+        # A word of the phrase moves on from where the ones before it were found, earlier tokens only.
+        made += [F.when(t == wanted[k], state[f"b{k - 1}"]).otherwise(state[f"b{k}"]).alias(f"b{k}") for k in range(1, n - 1)]
+        ends = (t == wanted[-1]) & (at - state[begun[-1]] - (n - 1) <= slop) & (state[begun[-1]] >= 0)
+        return F.struct((at + 1).alias("at"), (state["found"] | ends).alias("found"), *made)
 
-    return F.exists(starts, lambda i: F.coalesce(end(i) - i - (n - 1) <= slop, F.lit(False)))
+    return F.aggregate(words, start, step, lambda state: state["found"])
 
 
 _TIME = re.compile(r"\d{4}-\d\d-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:?\d\d)?)?")
@@ -164,19 +182,29 @@ def _text_leaf(words: Column, tokenizer: str, leaf: Node) -> Column:
 
 def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
     base = column(field.name)
+    if not path:
+        return _anywhere(base, field, leaf)
     value = F.try_variant_get(base, json_path(path), "variant")
     if len(path) > 1 and field.options.get("expand_dots", True):
         value = F.coalesce(value, F.try_variant_get(base, json_path([".".join(path)]), "variant"))
+    inner = _through_arrays(base, path) if len(path) > 1 else None
     if isinstance(leaf, Exists):
-        return value.isNotNull() & (kind_of(value) != "VOID")
-    several = F.when(kind_of(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
-    items = F.coalesce(several, F.when(value.isNotNull(), F.array(value)))
+        there = value.isNotNull() & (kind_of(value) != "VOID")
+        return there if inner is None else there | F.coalesce(F.exists(inner, lambda v: v.isNotNull() & (kind_of(v) != "VOID")), F.lit(False))
+    items = F.coalesce(_elements(value), F.when(value.isNotNull(), F.array(value)), *([] if inner is None else [inner]))
 
     def one(v: Column) -> Column:
-        readings = [_text_leaf(tokens(F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")), _plain_tokenizer(field)), field.tokenizer, leaf)]
-        for kind, there, target in (("number", is_number(v), "double"), ("boolean", kind_of(v) == "BOOLEAN", "boolean")):
+        text = F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        # A range over words doesn't fit a string that is a time: there it is one of times only.
+        words = F.when(format_time(text, "rfc3339").isNull(), text) if isinstance(leaf, Range) else text
+        readings = [_text_leaf(tokens(words, _plain_tokenizer(field)), field.tokenizer, leaf)]
+        kinds = {
+            "number": F.when(is_number(v), F.try_variant_get(v, "$", "double")),
+            "boolean": F.when(kind_of(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
+            "datetime": format_time(text, "rfc3339"),
+        }
+        for kind, held in kinds.items():
             typed = Field(("_",), kind, {})
-            held = F.when(there, F.try_variant_get(v, "$", target))
             if isinstance(leaf, Term):
                 wanted = literal(typed, leaf.text)
                 readings += [held == wanted] if wanted is not None else []
@@ -191,6 +219,31 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
     return F.exists(items, one)
 
 
+def _elements(v: Column) -> Column:
+    """The elements of an array variant; null for anything else."""
+    return F.when(kind_of(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _through_arrays(base: Column, path: list[str]) -> Column:
+    """The values at a path whose every step goes into each element of an array that stands there."""
+    items = F.array(base)
+    for part in path:
+        one = json_path([part])
+        several = F.transform(items, lambda v: F.coalesce(_elements(v), F.array(v)))
+        items = F.filter(F.transform(F.flatten(several), lambda v: F.try_variant_get(v, one, "variant")), lambda v: v.isNotNull())
+    return F.flatten(F.transform(items, lambda v: F.coalesce(_elements(v), F.array(v))))
+
+
+def _anywhere(base: Column, field: Field, leaf: Node) -> Column | None:
+    """A bare term in any string of a dynamic value; other bare leaves need a path."""
+    if not isinstance(leaf, Term):
+        return None
+    # Strings of the JSON text, keys included, which a colon follows; escapes end words but for quotes and the like.
+    strings = F.regexp_extract_all(F.to_json(base), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    plain = F.transform(F.filter(strings, lambda t: ~t.endswith(":")), lambda t: F.regexp_replace(F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\[nrtbf]", " "), r"\\(.)", "$1"))
+    return F.exists(plain, lambda t: _text_leaf(tokens(t, _plain_tokenizer(field)), field.tokenizer, leaf))
+
+
 def _plain_tokenizer(field: Field) -> str:
     # The stemmer is a UDF, which a lambda can't call.
     if field.tokenizer == "en_stem":

@@ -1,35 +1,42 @@
 import json
+import random
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.config import ConfigError, escape_name, load, split_name
 from brindle.functions.parse import ERRORS, parse_documents
 from brindle.operators.catalog import BadLineError, Catalog, CatalogError
+from brindle.plans.bind import phrase
 from brindle.plans.grammar import QuerySyntaxError, parse_query
 from brindle.sources.connect import SourceError, connect, kafka_options, kafka_url, stdin_batches
 from brindle.streaming.ingest import ingest, milliseconds
 
-LOGS = """
+PARCELS = """
 version: 1
-name: logs
+name: parcels
 path: unused
 schema:
-  time_field: timestamp
   fields:
-    - name: timestamp
-      type: !datetime {formats: [timestamp]}
-    - name: tenant_id
-      type: !number {type: u64}
-    - name: resource
-      type: !dynamic_object {expand_dots: true}
-    - name: attributes
+    - name: grams
+      type: !number {type: i64}
+    - name: route
       type: !static_object
         fields:
-          - {name: class, type: !text }
+          - {name: hub, type: !text }
+          - {name: legs, array: true, type: !number {type: u64}}
+    - name: scanned
+      type: !datetime {formats: [timestamp, rfc3339]}
+    - name: fragile
+      type: !boolean
+    - name: extras
+      type: !dynamic_object {expand_dots: true}
 """
 ROWS = [
-    {"timestamp": 1460530013, "severity_text": "INFO", "body": "First responder: blk, done", "resource": {"service": "node/01"}, "attributes": {"class": "a.b.Node"}, "tenant_id": 58},
-    {"timestamp": 1460530014, "severity_text": "INFO", "body": "Receiving blk from there", "resource": {"service": "node/02"}, "attributes": {"class": "a.b.Node"}, "tenant_id": 46},
+    {"grams": 1200, "scanned": 1700000000, "fragile": True, "route": {"hub": "Oslo north", "legs": [3, 8]}, "extras": {"box": {"side": "left wall"}}, "note": "handle with care, glass"},
+    {"grams": 350, "scanned": "2024-02-03T04:05:06.5Z", "fragile": False, "route": {"hub": "Bergen"}, "extras": {"box": {"side": "lid"}}, "note": "with love"},
+    {"grams": 80, "route": {"hub": "north sea oslo", "legs": []}, "tags": [{"by": "Ada", "on": "2024-01-15T00:00:00Z"}, {"by": ["Bo", 7]}], "note": "care: none"},
 ]
 
 
@@ -50,49 +57,101 @@ def found(catalog, name, query, limit=10):
     return sorted(r.json for r in catalog.search(name, query, limit).collect())
 
 
-def test_logs_end_to_end_and_merge(spark, catalog):
-    catalog.create(LOGS)
+QUERIES = {
+    "grams:>100 AND fragile:true": [1200],
+    "note:care": [80, 1200],
+    "grams:[80 TO 350}": [80],
+    "extras.box.side:wall": [1200],
+    'extras.box.side:"left wall"': [1200],
+    "route.hub:north -note:glass": [80],
+    'route.hub:"oslo north"': [1200],
+    'route.hub:"north oslo"~1': [80],
+    'route.hub:"north se"*': [80],
+    "route.legs:8": [1200],
+    "scanned:>=2024-01-01": [350],
+    "nowhere:x": [],
+    "nowhere:*": [],
+    "tags:*": [80],
+    "tags.by:ada": [80],
+    "tags.by:7": [80],
+    "tags.on:[2024-01-01T00:00:00Z TO 2024-02-01T00:00:00Z]": [80],
+    "tags.on:<2024-01-01T00:00:00Z": [],
+    "route.hub:(oslo OR bergen) AND NOT grams:80": [350, 1200],
+    "bergen": [350],
+    "glass": [1200],
+    "ada": [80],
+    "care": [80, 1200],
+    "by": [],
+    "grams: IN [350 351]": [350],
+}
+
+
+def test_parcels_end_to_end_and_merge(spark, catalog):
+    catalog.create(PARCELS)
     with pytest.raises(CatalogError):
-        catalog.create(LOGS)
-    assert found(catalog, "logs", "*") == []
+        catalog.create(PARCELS)
+    assert found(catalog, "parcels", "*") == []
     for row in ROWS:
-        assert catalog.index("logs", lines(spark, [row]))
-    first = '{"attributes":{"class":"a.b.Node"},"body":"First responder: blk, done","resource":{"service":"node/01"},"severity_text":"INFO","tenant_id":58,"timestamp":"2016-04-13T06:46:53Z"}'
-    queries = {
-        "tenant_id:>50 AND severity_text:INFO": [58],
-        "body:Receiving": [46],
-        "tenant_id:[46 TO 58}": [46],
-        "resource.service:node": [46, 58],
-        'resource.service:"node 02"': [46],
-        "attributes.class:node -body:done": [46],
-        "timestamp:>=2016-04-13T06:46:54Z": [46],
-        "missing:x": [],
-        "missing:*": [],
-        "body:* AND NOT tenant_id:58": [46],
-        "node": [46, 58],
-        "tenant_id: IN [46 47]": [46],
-    }
-    def tenants(query):
-        return sorted(json.loads(r)["tenant_id"] for r in found(catalog, "logs", query))
-
-    assert found(catalog, "logs", "tenant_id:>50 AND severity_text:INFO") == [first]
-    assert {q: tenants(q) for q in queries} == queries
-    assert len(found(catalog, "logs", "*", 1)) == 1 and found(catalog, "logs", "*", 0) == []
-    assert len(catalog.files("logs")) == 2 and catalog.merge("logs") and len(catalog.files("logs")) == 1
-    assert {q: tenants(q) for q in queries} == queries
-    assert catalog.merge("logs") is None
-    catalog.drop("logs")
+        assert catalog.index("parcels", lines(spark, [row]))
+    first = '{"extras":{"box":{"side":"left wall"}},"fragile":true,"grams":1200,"note":"handle with care, glass","route":{"hub":"Oslo north","legs":[3,8]},"scanned":"2023-11-14T22:13:20Z"}'
+
+    def grams(query, **options):
+        return sorted(json.loads(r.json)["grams"] for r in catalog.search("parcels", query, 10, **options).collect())
+
+    assert found(catalog, "parcels", "grams:>100 AND fragile:true") == [first]
+    assert {q: grams(q) for q in QUERIES} == QUERIES
+    assert len(found(catalog, "parcels", "*", 1)) == 1 and found(catalog, "parcels", "*", 0) == []
+    old = catalog.files("parcels")
+    under_way = catalog.search("parcels", "note:care", 10)
+    assert len(old) == 3 and catalog.merge("parcels") and len(catalog.files("parcels")) == 1
+    assert under_way.count() == 2 and catalog.vacuum("parcels") == []
+    assert {q: grams(q) for q in QUERIES} == QUERIES == {q: grams(q, by_postings=False) for q in QUERIES}
+    assert sorted(catalog.vacuum("parcels", 0)) == sorted(old) and catalog.merge("parcels") is None
+    assert grams("note:care") == [80, 1200]
+    catalog.drop("parcels")
     with pytest.raises(CatalogError):
-        catalog.search("logs", "*")
+        catalog.search("parcels", "*")
+
+
+def test_postings_give_what_all_documents_give(spark, catalog):
+    rng = random.Random(5)
+    catalog.create(one("text"))
+    for _ in range(2):
+        catalog.index("t", lines(spark, [{"x": " ".join(rng.choices("abcdef", [30, 20, 10, 5, 2, 1], k=rng.randint(1, 12))), "n": n} for n in range(40)]))
+    table = catalog.table("t")
+    for query in ("x:f", "x:e x:f", 'x:"b a"', 'x:"a b c"~2', "x:d AND NOT x:a", "+x:c x:f^3", "(x:e OR x:f) AND x:b"):
+        narrow, known = catalog.candidates("t", table, query)
+        assert known and known.documents == 80 and narrow.df.count() <= 80
+        a, b = ([r.json for r in catalog.search("t", query, 7, by_postings=way).collect()] for way in (True, False))
+        assert a == b
+        assert sorted(r.json for r in catalog.search("t", query, 99, ranking=False).collect()) == sorted(r.json for r in catalog.search("t", query, 99, by_postings=False).collect())
+    for query in ("*", "x:*", "x:[a TO b]", "x:a n:3", 'x:"a b"*', "NOT x:a"):
+        assert catalog.candidates("t", table, query) == (table, None)
+
+
+def test_phrases_against_all_places(spark):
+    rng = random.Random(11)
+    texts = [rng.choices("abcd", k=rng.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, w array<string>").cache()
+
+    def fits(words, wanted, slop):
+        places = [tuple(p) for p in combinations(range(len(words)), len(wanted)) if [words[k] for k in p] == list(wanted)]
+        return any(p[-1] - p[0] - (len(wanted) - 1) <= slop for p in places)
+
+    for wanted in ("ab", "aa", "abc", "aba", "abcd", "aabb"):
+        for slop in (0, 1, 3):
+            got = {r.n for r in df.where(phrase(F.col("w"), list(wanted), slop)).collect()}
+            assert got == {n for n, t in enumerate(texts) if fits(t, wanted, slop)}, (wanted, slop)
 
 
 @pytest.mark.parametrize(
     ("kind", "options", "array", "rows", "query", "want"),
     [
-        ("number", "{type: u64}", "array: true", [{"x": [1, 2, 3, 4]}, {"x": [9]}], "x:3", ['{"x":[1,2,3,4]}']),
-        ("boolean", "", "", [{"x": True}, {"x": False}], "x:false", ['{"x":false}']),
-        ("ip", "", "", [{"x": "127.0.0.1"}, {"x": "2001:db8::ff00:42:8329"}, {"x": "192.168.0.1"}], "x:[190.0.0.1 TO 195.200.10.1]", ['{"x":"192.168.0.1"}']),
-        ("number", "{type: i64}", "", [{"x": "-100"}, {"x": "100"}], "x:<0", ['{"x":-100}']),
+        ("number", "{type: u64}", "array: true", [{"x": [70, 7]}, {"x": [17]}, {"x": []}], "x:7", ['{"x":[70,7]}']),
+        ("boolean", "", "", [{"x": False}, {"x": " TRUE"}, {"x": True}], "x:true", ['{"x":true}', '{"x":true}']),
+        ("ip", "", "", [{"x": "10.1.2.3"}, {"x": "fe80::a:1"}, {"x": "10.1.9.9"}, {"x": "11.0.0.0"}], "x:{10.1.2.3 TO 10.255.255.255]", ['{"x":"10.1.9.9"}']),
+        ("ip", "", "", [{"x": "10.1.2.3"}, {"x": "fe80::a:1"}, {"x": "FE80:0::b"}], "x:>fe80::a:1", ['{"x":"FE80:0::b"}']),
+        ("number", "{type: i64}", "", [{"x": "-7"}, {"x": "+12"}, {"x": 0}], "x:<=0", ['{"x":-7}', '{"x":0}']),
         ("text", "{indexed: {tokenizer: en_stem}}", "", [{"x": "the ponies ran"}, {"x": "a dog"}], "x:pony", ['{"x":"the ponies ran"}']),
         ("text", "{indexed: {tokenizer: raw}}", "", [{"x": "A b"}, {"x": "A"}], 'x:"A b"', ['{"x":"A b"}']),
         ("text", "", "", [{"x": "a b q c"}, {"x": "a c b"}], 'x:"a b c"~1', ['{"x":"a b q c"}']),
@@ -113,8 +172,8 @@ def test_types(spark, catalog, kind, options, array, rows, query, want):
         ("number", "{type: f64}", ["25.52", "1e2", 5, "+.5"], ["1d", " 1", "x"]),
         ("number", "{type: i64, parse_string: false}", [3], ["3"]),
         ("boolean", "", [" true ", "FaLsE", True], ["t", "1", "yes", 1]),
-        ("datetime", "", ["2016-04-13T06:46:53Z", "2016-04-13T06:46:53.123456789+02:00", 1460530013, 1460530013000], ["2016", "2016-04-13", 12, "1460530013", 1.5]),
-        ("datetime", "{formats: [rfc2822]}", ["Wed, 13 Apr 2016 06:46:53 +0000", "13 Apr 2016 06:46:53 +0000"], ["2016-04-13T06:46:53Z", None]),
+        ("datetime", "", ["2024-02-03T04:05:06Z", "2024-02-03T04:05:06.123456789+02:00", 1700000000, 1700000000000], ["2024", "2024-02-03", 12, "1700000000", 1.5]),
+        ("datetime", "{formats: [rfc2822]}", ["Sat, 03 Feb 2024 04:05:06 +0000", "3 Feb 2024 04:05:06 +0000"], ["2024-02-03T04:05:06Z", None]),
         ("ip", "", ["1.2.3.4", "::1"], ["1.2.3", "x", 5, None]),
     ],
 )
@@ -137,18 +196,18 @@ def test_bad_lines(spark, catalog):
 
 
 def test_stream_commits_once(spark, catalog, tmp_path):
-    catalog.create(LOGS)
+    catalog.create(PARCELS)
     folder = tmp_path / "in"
     folder.mkdir()
     for n, row in enumerate(ROWS):
         (folder / f"{n}.json").write_text(json.dumps(row) + "\n")
     for _ in range(2):
-        ingest(catalog, "logs", connect(spark, str(folder), True, 1), None).awaitTermination()
-        assert len(catalog.files("logs")) == 2
-    (folder / "2.json").write_text(json.dumps(ROWS[0]) + "\n")
-    ingest(catalog, "logs", connect(spark, str(folder), True, 1), None).awaitTermination()
-    assert len(found(catalog, "logs", "*")) == 3
-    assert catalog.index("logs", lines(spark, ROWS), batch=("stream", 1)) is None
+        ingest(catalog, "parcels", connect(spark, str(folder), True, 1), None).awaitTermination()
+        assert len(catalog.files("parcels")) == 3
+    (folder / "3.json").write_text(json.dumps(ROWS[0]) + "\n")
+    ingest(catalog, "parcels", connect(spark, str(folder), True, 1), None).awaitTermination()
+    assert len(found(catalog, "parcels", "*")) == 4
+    assert catalog.index("parcels", lines(spark, ROWS), batch=("stream", 1)) is None
 
 
 def test_helpers(spark):
