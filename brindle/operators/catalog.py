@@ -203,9 +203,12 @@ class Catalog:
             return F.col(f"has{asked.index((field, token))}")
 
         wanted = needed(has)
-        scored = {(f.name, token) for f, token, _ in text_terms(table, parse_query(query))}
-        if scored - set(asked):
+        # Terms that only add to scores are counted too.
+        scored = text_terms(table, parse_query(query))
+        if any(field.tokenizer == "raw" for field, _, _ in scored):
             return table, None
+        for field, token, _ in scored:
+            has(field.name, token)
         one_of = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == t) for f, t in asked])
         folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         found = self.spark.read.parquet(*[self._postings(name, f) for f in manifest["files"]]).where(one_of).select("field", "term", DOC_ID, folder.alias(FILE_ID))
