@@ -1,9 +1,9 @@
 """License detections by ordered signature rules.
 
 Texts become words (ASCII letters and digits, lower case, and all non-ASCII
-characters). A signature is a hand-written regex over the words, one space
-apart; ``FAMILIES`` times versions times ``FORMS`` gives some hundreds. Only the
-signatures run of whose keywords and cues the text has at least one each. Detections are
+characters). A signature is a regex over the words, one space apart: those of
+``license_rules`` are written one by one, and ``FAMILIES`` times versions times ``FORMS``
+gives the ways in which a name is mentioned. Only the signatures run of whose keywords and cues the text has at least one each. Detections are
 taken by priority, then by length and place; one that lies inside the
 interval of a detection already taken is suppressed. The base phrases always
 count and are never suppressed.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 from typing import NamedTuple
@@ -25,6 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.license_rules import WRITTEN
 from brindle.llm.words import alnum_words
 
 #: The base phrases and their labels.
@@ -33,12 +35,15 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Label, keywords of which every such name has one, name as a regex over words, versions ("" is any or none).
 FAMILIES = (
     ("mit", "mit expat", "(?:mit|expat)(?: x11)?", ("",)),
-    ("apache", "apache", "apache(?: software)?", ("1 0", "1 1", "2", "")),
+    ("apache", "apache", "apache(?: software)?", ("1", "1 1", "2", "")),
     ("agpl", "agpl affero", "(?:agpl|(?:gnu )?affero(?: general public)?)", ("3", "")),
     ("lgpl", "lgpl lesser library", "(?:lgpl|(?:gnu )?(?:lesser|library) general public)", ("2", "2 1", "3", "")),
     ("gpl", "gpl general", "(?:(?:gnu )?gpl|(?:gnu )?general public)", ("1", "2", "3", "")),
     ("gfdl", "gfdl documentation", "(?:gfdl|(?:gnu )?free documentation)", ("1 2", "1 3", "")),
-    ("bsd", "bsd", "(?:new |modified |simplified )?bsd(?: [234] clause)?", ("",)),
+    ("bsd-2", "bsd", "(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd)", ("",)),
+    ("bsd-3", "bsd", "(?:bsd 3 clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)", ("",)),
+    ("bsd-4", "bsd", "(?:bsd 4 clause|(?:4|four) clause bsd|original bsd)", ("",)),
+    ("bsd", "bsd", "bsd", ("",)),
     ("mpl", "mpl mozilla", "(?:mpl|mozilla public)", ("1 1", "2", "")),
     ("epl", "epl eclipse", "(?:epl|eclipse public)", ("1", "2", "")),
     ("eupl", "eupl european", "(?:eupl|european union public)", ("1 1", "1 2", "")),
@@ -62,26 +67,23 @@ FAMILIES = (
     ("cc-by-nc-nd", "cc commons", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivatives)", ("1", "2", "3", "4", "")),
 )
 
+#: Acronyms that a version is often glued to, by label; those whose licenses are given as "only" or "or later".
+GLUED = {"apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "eupl": "eupl", "cddl": "cddl", "ofl": "ofl", "wtfpl": "wtfpl"}
+LATER = frozenset(["agpl", "lgpl", "gpl", "gfdl"])
+SUFFIXES = (("-or-later", "(?: or later| or newer| or any later version| or at your option any later version| plus)"), ("-only", " only"), ("", ""))
+
 #: Priority, cues of which the form has one, form with {n} for the name and {v} for the version.
 FORMS = (
-    (90, "spdx", "spdx license identifier {n}{v}"),
-    (80, "under", "(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of the )?{n}(?: licen[cs]e)?{v}"),
-    (70, "subject terms accordance", "(?:subject to|terms (?:and conditions )?of|in accordance with) (?:the )?{n} licen[cs]e{v}"),
+    (90, "spdx", "spdx license identifier {n}"),
+    (85, "spdx", "(?:or|and) {n}"),
+    (80, "under", "(?:licensed|released|distributed|available|published|provided|covered) under (?:a |an |the )?(?:terms of (?:a |an |the )?)?{n}(?: licen[cs]e)?{v}"),
+    (75, "licensed released dual", "(?:and|or) (?:under )?(?:a |an |the )?{n}(?: licen[cs]e)?{v}"),
+    (70, "subject terms accordance", "(?:subject to|terms (?:and conditions )?of|in accordance with) (?:a |an |the )?{n} licen[cs]e{v}"),
     (60, "license licence", "{n} licen[cs]e{v}"),
-    (60, "license licensed licence licenced", "licen[cs]ed? {n}{v}"),
+    (60, "license licensed licence licenced", "licen[cs]ed? {n}"),
 )
 #: A form with a version goes before the same form without.
-VERSIONED = 5
-
-#: Signatures with no family: label, priority, keyword, regex.
-STANDING = (
-    ("mit", 50, "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", 50, "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("isc", 50, "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
-    ("public-domain", 40, "domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain"),
-    ("proprietary", 30, "reserved", "all rights reserved"),
-    ("proprietary", 30, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
-)
+VERSIONED, SUFFIXED = 3, 1
 
 
 class Signature(NamedTuple):
@@ -89,7 +91,7 @@ class Signature(NamedTuple):
     priority: int
     keywords: frozenset[bytes]
     cues: frozenset[bytes]
-    pattern: re.Pattern[bytes]
+    pattern: bytes
 
 
 class Detection(NamedTuple):
@@ -103,20 +105,37 @@ class Detection(NamedTuple):
 
 def _signature(label: str, priority: int, keywords: str, cues: str, pattern: str) -> Signature:
     sets = [frozenset(w.encode() for w in words.split()) for words in (keywords, cues)]
-    return Signature(label, priority, *sets, re.compile(f"(?<= )(?:{pattern})(?= )".encode()))
+    return Signature(label, priority, *sets, f"(?<= )(?:{pattern})(?= )".encode())
+
+
+@cache
+def _compiled(pattern: bytes) -> re.Pattern[bytes]:
+    """Patterns are compiled when a text first has their keyword."""
+    return re.compile(pattern)
+
+
+def _family(label: str, keywords: str, name: str, versions: tuple[str, ...]) -> Iterator[Signature]:
+    """One license's rules: each version with each suffix in each form; a version stands behind the name, glued to it, or at the end."""
+    glue = GLUED.get(label, "")
+    for version in versions:
+        number = version.replace(" ", ".")
+        for suffix, says in SUFFIXES if version and label in LATER else SUFFIXES[-1:]:
+            digits = f"(?: (?:version|v))? v?{version}(?: 0)?{says}" if version else ""
+            glued = f"|{glue}v?{version}(?: 0)?{says}" if glue and version else ""
+            also = f" {glue}{version.split()[0]} {glue}v{version.split()[0]}" if glued else ""
+            for priority, cues, form in FORMS:
+                patterns = [form.format(n=f"(?:{name}{digits}{glued})", v="")] + ([form.format(n=name, v=digits)] if digits and "{v}" in form else [])
+                more = (VERSIONED if version else 0) + (SUFFIXED if says else 0)
+                yield _signature(f"{label}-{number}{suffix}" if version else label, priority + more, keywords + also, cues, "|".join(patterns))
 
 
 @cache
 def signatures() -> tuple[Signature, ...]:
     """All rules in falling priority; equal ones in the order written."""
-    rules = []
-    for label, keywords, name, versions in FAMILIES:
-        for version in versions:
-            digits = f"(?: (?:version|v))? v?{version}(?: 0)?" if version else ""
-            full = f"{label}-{version.replace(' ', '.')}" if version else label
-            for priority, cues, form in FORMS:
-                rules.append(_signature(full, priority + (VERSIONED if version else 0), keywords, cues, form.format(n=name, v=digits)))
-    rules += [_signature(label, priority, keyword, keyword, pattern) for label, priority, keyword, pattern in STANDING]
+    rules = [rule for family in FAMILIES for rule in _family(*family)]
+    for line in WRITTEN.strip().splitlines():
+        label, priority, keywords, pattern = line.split(" | ")
+        rules.append(_signature(label, int(priority), keywords, keywords, pattern))
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
 
@@ -175,7 +194,7 @@ def detect(words: list[bytes]) -> list[Detection]:
     starts = list(accumulate((len(w) + 1 for w in words), initial=1))
     found = []
     for rule in rules:
-        for match in rule.pattern.finditer(joined):
+        for match in _compiled(rule.pattern).finditer(joined):
             found.append(Detection(rule.label, rule.priority, bisect_left(starts, match.start()), bisect_left(starts, match.end() + 1)))
     return suppressed(found)
 

@@ -55,6 +55,38 @@ def test_license_rules():
     assert labels("licensed under the GNU General Public License, version 3.") == ["gpl-3"]
     assert labels("SPDX-License-Identifier: Apache-2.0") == ["apache-2"]
     assert labels("All rights reserved. A general public of readers") == ["proprietary"]
+    for text, found in {
+        "SPDX-License-Identifier: GPL-3.0-or-later": ["gpl-3-or-later"],
+        "SPDX-License-Identifier: LGPL-2.1-only": ["lgpl-2.1-only"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["mit", "apache-2"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["bsd-3"],
+        "licensed under the GPLv3": ["gpl-3"],
+        "released under LGPLv2.1": ["lgpl-2.1"],
+        "distributed under a Creative Commons Attribution 4.0 license": ["cc-by-4"],
+        "licensed under MIT and GPL v2": ["mit", "gpl-2"],
+        "the BSD-3-Clause license": ["bsd-3"],
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": ["cc-by-nc-sa-4"],
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["gpl-3-or-later"],
+        "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["agpl-3-or-later"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": ["mpl-2"],
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": ["apache-2"],
+        "under the same terms as Perl itself": ["artistic-perl"],
+        "a license to drive, general terms, public roads and an apache helicopter": [],
+        "boost your zlib with common sense and artistic freedom": [],
+    }.items():
+        assert labels(text) == found, text
+
+
+def test_written_license_rules_find_themselves():
+    """Each rule whose regex is a plain sentence finds it, whole, and nothing is found when its keyword is another word."""
+    rules = [line.split(" | ") for line in license_scan.WRITTEN.strip().splitlines()]
+    plain = [(label, keywords, pattern) for label, _, keywords, pattern in rules if re.fullmatch(r"[a-z0-9 ]+", pattern)]
+    assert len(rules) > 150 and len(plain) > 60 and len(set(map(tuple, rules))) == len(rules)
+    for label, keywords, pattern in plain:
+        words = pattern.encode().split()
+        assert (label, 0, len(words)) in [(d.label, d.start, d.end) for d in license_scan.detect(words)], pattern
+        other = [b"zzz" if w in keywords.encode().split() else w for w in words]
+        assert label not in [d.label for d in license_scan.detect(other) if (d.start, d.end) == (0, len(words))]
 
 
 def test_tokens_against_library(spark, texts):
