@@ -150,7 +150,7 @@ def test_phrases_against_all_places(spark):
         ("number", "{type: u64}", "array: true", [{"x": [70, 7]}, {"x": [17]}, {"x": []}], "x:7", ['{"x":[70,7]}']),
         ("boolean", "", "", [{"x": False}, {"x": " TRUE"}, {"x": True}], "x:true", ['{"x":true}', '{"x":true}']),
         ("ip", "", "", [{"x": "10.1.2.3"}, {"x": "fe80::a:1"}, {"x": "10.1.9.9"}, {"x": "11.0.0.0"}], "x:{10.1.2.3 TO 10.255.255.255]", ['{"x":"10.1.9.9"}']),
-        ("ip", "", "", [{"x": "10.1.2.3"}, {"x": "fe80::a:1"}, {"x": "FE80:0::b"}], "x:>fe80::a:1", ['{"x":"FE80:0::b"}']),
+        ("ip", "", "", [{"x": "10.1.2.3"}, {"x": "fe80::a:1"}, {"x": "FE80:0::b:0"}], "x:>fe80::a:1", ['{"x":"FE80:0::b:0"}']),
         ("number", "{type: i64}", "", [{"x": "-7"}, {"x": "+12"}, {"x": 0}], "x:<=0", ['{"x":-7}', '{"x":0}']),
         ("text", "{indexed: {tokenizer: en_stem}}", "", [{"x": "the ponies ran"}, {"x": "a dog"}], "x:pony", ['{"x":"the ponies ran"}']),
         ("text", "{indexed: {tokenizer: raw}}", "", [{"x": "A b"}, {"x": "A"}], 'x:"A b"', ['{"x":"A b"}']),
