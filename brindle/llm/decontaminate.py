@@ -38,7 +38,7 @@ WINDOW = 10
 #: UTF-8 bytes of benchmark text in one block, about; an item is in one block, whatever its size.
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are looked up at once, about.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 FOUND = T.StructType(
     [
@@ -121,7 +121,7 @@ class Words:
 
     BASE = 0x5851F42D4C957F2D
     #: Bytes whose powers are held; a longer word is hashed on its own.
-    SPAN = 1 << 20
+    SPAN = 1 << 18
 
     def __init__(self, texts: list[bytes | None]) -> None:
         plain = [(t or b"").translate(TO_WORDS) for t in texts]

@@ -166,12 +166,14 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1]))], ["a", "b"])
 
     for batch in batches:
-        for row in batch.to_pylist():
+        sets = batch.column("members")
+        for n, row in enumerate(batch.drop_columns(["members"]).to_pylist()):
             if (now := (row["band"], row["i"], row["j"])) != key:
                 if shard.links:
                     yield flush()
                 key, shard = now, Shard()
-            member = row["fp"], row["bits"] % (1 << 64), row["root"], np.frombuffer(row["members"], dtype="<u8")
+            # A copy, so that a tree doesn't hold whole batches.
+            member = row["fp"], row["bits"] % (1 << 64), row["root"], np.frombuffer(sets[n].as_buffer(), dtype="<u8").copy()
             if row["role"] != ENTERS:
                 shard.ask(*member)
             if row["role"] != ASKS:
