@@ -261,8 +261,11 @@ def _catalog(spark: SparkSession, config: str = EVENTS_YAML) -> Catalog:
 
 
 def _indexed(spark: SparkSession, sf_dir: str, parts: int = 3) -> Catalog:
-    """The events in an index of several file groups."""
-    catalog, lines = _catalog(spark), _event_lines(spark, sf_dir)
+    """The events, from text files, in an index of several file groups."""
+    catalog = _catalog(spark)
+    folder = f"{catalog.root}-lines"
+    _event_lines(spark, sf_dir).write.text(folder)
+    lines = connect(spark, folder)
     for k in range(parts):
         catalog.index("events", lines.where(F.pmod(F.xxhash64("value"), F.lit(parts)) == k))
     return catalog
