@@ -19,6 +19,10 @@ OPTIONS: dict[str, dict[str, Any]] = {
     "dynamic_object": {"stored": True, "fast": True, "indexed": True, "expand_dots": True},
     "static_object": {"fields": []},
 }
+#: What an ``indexed`` with a body can hold, by kind.
+INDEXED = {"text": {"record", "fieldnorms", "tokenizer"}, "dynamic_object": {"record", "tokenizer"}}
+#: How much is kept of a term: that it is there, how often, where. Without ``record`` everything is.
+RECORDS = ("basic", "freq", "position")
 
 
 class ConfigError(ValueError):
@@ -76,6 +80,25 @@ class Field:
             return indexed.get("tokenizer") or ("raw" if self.kind == "dynamic_object" else "default")
         return "default"
 
+    def _detail(self, name: str, default: Any) -> Any:
+        indexed = self.options.get("indexed")
+        return indexed.get(name, default) if isinstance(indexed, dict) else default
+
+    @property
+    def frequencies(self) -> bool:
+        """Whether a term counts as often as it is there; if not, once."""
+        return self._detail("record", "position") != "basic"
+
+    @property
+    def positions(self) -> bool:
+        """Whether phrases can be searched for."""
+        return self._detail("record", "position") == "position"
+
+    @property
+    def fieldnorms(self) -> bool:
+        """Whether a term counts for more in a short text."""
+        return bool(self._detail("fieldnorms", True))
+
     def leaves(self) -> list[Field]:
         """This field, or those inside it."""
         return [leaf for f in self.fields for leaf in f.leaves()] if self.kind == "static_object" else [self]
@@ -107,6 +130,14 @@ def _field(raw: dict, above: tuple[str, ...]) -> Field:
     options = {**OPTIONS[kind], **given}
     if isinstance(options.get("indexed"), dict) and "tag" in options["indexed"]:
         options["indexed"] = options["indexed"]["body"] or {}
+    if isinstance(options.get("indexed"), dict):
+        inside = options["indexed"]
+        if unknown := inside.keys() - INDEXED.get(kind, set()):
+            raise ConfigError(f"field {raw['name']!r}: indexed of {kind} has no option {sorted(unknown)}")
+        if inside.get("record", "position") not in RECORDS:
+            raise ConfigError(f"field {raw['name']!r}: records are {RECORDS}")
+        if not isinstance(inside.get("fieldnorms", True), bool):
+            raise ConfigError(f"field {raw['name']!r}: fieldnorms is true or false")
     path = (*above, raw["name"])
     array = bool(raw.get("array", False))
     if kind == "static_object" and array:

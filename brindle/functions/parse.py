@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brindle.config import DYNAMIC, Field, IndexConfig
 
@@ -18,21 +16,53 @@ EPOCH = (72_057_595, 8_589_934_591)
 U64_MOST = 2**64 - 1
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _addresses(texts: pa.Array) -> pa.Array:
-    def one(text: str | None) -> bytes | None:
-        try:
-            found = ipaddress.ip_address(text)
-        except ValueError:
-            return None
-        return found.packed if found.version == 6 else b"\0" * 10 + b"\xff\xff" + found.packed
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_FOUR = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
-    return pa.array([None if row is None else [one(t) for t in row] for row in texts.to_pylist()], pa.list_(pa.binary()))
 
+def _four_hex(text: Column) -> Column:
+    """The eight hex digits of an IPv4 address."""
+    parts = [F.split_part(text, F.lit("."), F.lit(k)).try_cast("bigint") for k in (1, 2, 3, 4)]
+    return F.lpad(F.hex(((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]), 8, "0")
 
-def address_bytes(texts: Column) -> Column:
-    """For an array of address strings: 16 bytes each, IPv4 mapped into IPv6; null for what is no address."""
-    return _addresses(texts)
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _groups(text: Column) -> Column:
+    """The parts between colons; none of an empty text."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+
+def _six_hex(text: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, an IPv4 address at its end included; null for what is none."""
+    four = F.regexp_extract(text, rf"(?<=:)({_FOUR})\z", 1)
+
+    def plain(last: Column) -> Column:
+        head = F.substring(text, F.lit(1), F.length(text) - F.length(last))
+        tail = _four_hex(last)
+        return F.when(last == "", text).otherwise(F.concat(head, F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
+
+    def filled(halves: Column) -> Column:
+        # A double colon stands for one group of zeros at least.
+        left, right = _groups(F.get(halves, F.lit(0))), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        fits = ((F.size(halves) == 1) & (missing == 0)) | ((F.size(halves) == 2) & (missing > 0))
+        return F.when(fits, F.concat(left, zeros, right))
+
+    def joined(groups: Column) -> Column:
+        return F.when(F.forall(groups, lambda g: g.rlike(r"^[0-9A-Fa-f]{1,4}\z")), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return _let(_let(_let(four, plain), lambda t: F.split(t, "::")), lambda halves: _let(filled(halves), joined))
+
+
+def address_bytes(text: Column) -> Column:
+    """16 bytes of an address, IPv4 mapped into IPv6; null for what is no address (or has a zone)."""
+    four = F.when(text.rlike(rf"^{_FOUR}\z"), F.concat(F.lit("0" * 20 + "FFFF"), _four_hex(text)))
+    return F.unhex(four.when(text.contains(":"), _six_hex(text)))
 
 
 def json_path(parts: list[str] | tuple[str, ...]) -> str:
@@ -123,6 +153,11 @@ def _each(items: Column, field: Field) -> Column:
     return F.transform(items, lambda v: parse_value(v, field))
 
 
+def _last_of_equal_keys(found: Column) -> Column:
+    # Reading a map keeps equal keys; making one follows the session's rule.
+    return F.map_from_entries(F.map_entries(found))
+
+
 def address_name(field: Field) -> str:
     """The column of an ip field's 16-byte form."""
     return field.name + "#bytes"
@@ -133,7 +168,7 @@ def parse_documents(lines: DataFrame, config: IndexConfig, column: str = "value"
 
     ``_errors`` names the fields whose value isn't of their type, or has "json" if the line isn't a JSON object.
     """
-    docs = lines.select(F.col(column).alias(LINE), F.from_json(column, "map<string,variant>").alias("_map"))
+    docs = lines.select(F.col(column).alias(LINE), _last_of_equal_keys(F.from_json(column, "map<string,variant>")).alias("_map"))
     declared = [f.path[0] for f in config.fields]
     values, errors = [], [F.when(F.col("_map").isNull(), F.lit("json"))]
     for field in config.leaves():
@@ -149,8 +184,7 @@ def parse_documents(lines: DataFrame, config: IndexConfig, column: str = "value"
             made = parse_value(raw, field)
             bad = raw.isNotNull() & made.isNull()
         if field.kind == "ip":
-            packed = address_bytes(made if field.array else F.array(made))
-            packed = packed if field.array else F.get(packed, F.lit(0))
+            packed = F.transform(made, address_bytes) if field.array else _let(made, address_bytes)
             broken = F.exists(packed, lambda b: b.isNull()) if field.array else packed.isNull()
             bad = bad | (raw.isNotNull() & F.coalesce(broken, F.lit(True)))
             values.append(packed.alias(address_name(field)))

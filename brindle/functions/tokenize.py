@@ -18,6 +18,12 @@ def _stemmed(tokens: pa.Array) -> pa.Array:
     return pa.array([t if t is None else [stem(w) for w in t] for t in tokens.to_pylist()], pa.list_(pa.string()))
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _stemmed_lists(lists: pa.Array) -> pa.Array:
+    stems = [row if row is None else [t if t is None else [stem(w) for w in t] for t in row] for row in lists.to_pylist()]
+    return pa.array(stems, pa.list_(pa.list_(pa.string())))
+
+
 def tokens(text: Column, tokenizer: str = "default") -> Column:
     """Array of tokens in order; null stays null."""
     if tokenizer == "raw":
@@ -28,6 +34,12 @@ def tokens(text: Column, tokenizer: str = "default") -> Column:
     return _stemmed(plain) if tokenizer == "en_stem" else plain
 
 
+def token_lists(texts: Column, tokenizer: str = "default") -> Column:
+    """The tokens of each text of an array. (The stemmer is a UDF, which a lambda can't call.)"""
+    plain = F.transform(texts, lambda t: tokens(t, "default" if tokenizer == "en_stem" else tokenizer))
+    return _stemmed_lists(plain) if tokenizer == "en_stem" else plain
+
+
 def literal_tokens(text: str, tokenizer: str = "default") -> list[str]:
     """The tokens of a query literal."""
     import regex

@@ -76,7 +76,8 @@ def ranked(table: Searchable, query: str, known: Statistics | None = None) -> Da
         mean = known.lengths.get(field.name, 0) / max(n, 1)
         idf = F.log(F.lit(1.0) + (F.lit(float(n - df)) + 0.5) / (F.lit(float(df)) + 0.5))
         tf = F.greatest(F.col(f"_tf{k}"), F.lit(0)).cast("double")
-        norm = K1 * (1 - B + B * F.col(f"_len{k}") / F.lit(mean or 1.0))
+        tf = tf if field.frequencies else F.least(tf, F.lit(1.0))
+        norm = K1 * (1 - B + B * F.col(f"_len{k}") / F.lit(mean or 1.0)) if field.fieldnorms else F.lit(K1)
         score = score + boost * idf * tf * (K1 + 1) / (tf + norm)
     hits = counted.where(predicate(table, node)).withColumn(SCORE, F.coalesce(score, F.lit(0.0)))
     return hits.drop(*[f"_{kind}{k}" for kind in ("tf", "len") for k in range(len(terms))])

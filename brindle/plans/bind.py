@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import DYNAMIC, Field, IndexConfig, split_name
 from brindle.functions.parse import address_name, format_time, is_number, json_path, kind_of
-from brindle.functions.tokenize import literal_tokens, tokens
+from brindle.functions.tokenize import literal_tokens, token_lists, tokens
 from brindle.plans.grammar import Among, Boolean, Everything, Exists, Node, QuerySyntaxError, Range, Term
 
 
@@ -171,11 +171,19 @@ def _typed(field: Field, leaf: Node, named: bool) -> Column | None:
     return F.exists(value, test) if field.array else test(value)
 
 
-def _text_leaf(words: Column, tokenizer: str, leaf: Node) -> Column:
+def _text_leaf(words: Column, field: Field, leaf: Node) -> Column:
+    tokenizer = field.tokenizer
+
+    def wanted(text: str) -> list[str]:
+        found = literal_tokens(text, tokenizer)
+        if len(found) > 1 and not field.positions:
+            raise QuerySyntaxError(f"{text!r} is a phrase, and field {field.name!r} has no positions")
+        return found
+
     if isinstance(leaf, Term):
-        return phrase(words, literal_tokens(leaf.text, tokenizer), leaf.slop, leaf.prefix)
+        return phrase(words, wanted(leaf.text), leaf.slop, leaf.prefix)
     if isinstance(leaf, Among):
-        return _any([phrase(words, literal_tokens(v, tokenizer)) for v in leaf.values])
+        return _any([phrase(words, wanted(v)) for v in leaf.values])
     low, high = (None if b is None else F.lit(b if tokenizer in ("raw", "whitespace") else b.lower()) for b in (leaf.low, leaf.high))
     return F.exists(words, lambda t: _between(t, low, high, leaf))
 
@@ -193,11 +201,16 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
         return there if inner is None else there | F.coalesce(F.exists(inner, lambda v: v.isNotNull() & (kind_of(v) != "VOID")), F.lit(False))
     items = F.coalesce(_elements(value), F.when(value.isNotNull(), F.array(value)), *([] if inner is None else [inner]))
 
-    def one(v: Column) -> Column:
-        text = F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    def string(v: Column) -> Column:
+        return F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def spoken(v: Column) -> Column:
         # A range over words doesn't fit a string that is a time: there it is one of times only.
-        words = F.when(format_time(text, "rfc3339").isNull(), text) if isinstance(leaf, Range) else text
-        readings = [_text_leaf(tokens(words, _plain_tokenizer(field)), field.tokenizer, leaf)]
+        return F.when(format_time(string(v), "rfc3339").isNull(), string(v)) if isinstance(leaf, Range) else string(v)
+
+    def one(v: Column, words: Column) -> Column:
+        text = string(v)
+        readings = [_text_leaf(words, field, leaf)]
         kinds = {
             "number": F.when(is_number(v), F.try_variant_get(v, "$", "double")),
             "boolean": F.when(kind_of(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
@@ -216,7 +229,7 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
                     readings.append(_between(held, low, high, leaf))
         return _any([F.coalesce(r, F.lit(False)) for r in readings])
 
-    return F.exists(items, one)
+    return F.exists(F.zip_with(items, token_lists(F.transform(items, spoken), field.tokenizer), one), lambda found: found)
 
 
 def _elements(v: Column) -> Column:
@@ -241,14 +254,7 @@ def _anywhere(base: Column, field: Field, leaf: Node) -> Column | None:
     # Strings of the JSON text, keys included, which a colon follows; escapes end words but for quotes and the like.
     strings = F.regexp_extract_all(F.to_json(base), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
     plain = F.transform(F.filter(strings, lambda t: ~t.endswith(":")), lambda t: F.regexp_replace(F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\[nrtbf]", " "), r"\\(.)", "$1"))
-    return F.exists(plain, lambda t: _text_leaf(tokens(t, _plain_tokenizer(field)), field.tokenizer, leaf))
-
-
-def _plain_tokenizer(field: Field) -> str:
-    # The stemmer is a UDF, which a lambda can't call.
-    if field.tokenizer == "en_stem":
-        raise QuerySyntaxError(f"dynamic field {field.name!r}: en_stem is for declared text fields")
-    return field.tokenizer
+    return F.exists(token_lists(plain, field.tokenizer), lambda words: _text_leaf(words, field, leaf))
 
 
 def field_tokens(field: Field) -> Column:
@@ -272,7 +278,7 @@ def _leaf(table: Searchable, leaf: Node) -> Column:
             if field.tokenizer == "raw" and not field.array and isinstance(leaf, (Range, Among)) or (field.tokenizer == "raw" and not field.array and isinstance(leaf, Term) and not leaf.prefix):
                 part = _raw(column(field.name), leaf)
             else:
-                part = _text_leaf(words, field.tokenizer, leaf)
+                part = _text_leaf(words, field, leaf)
         else:
             part = _typed(field, leaf, leaf.field is not None)
         if part is not None:

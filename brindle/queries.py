@@ -185,6 +185,7 @@ schema:
           - {name: id, type: !number {type: i64}}
           - {name: name, type: !text }
     - {name: props, type: !dynamic_object {expand_dots: true}}
+    - {name: note, type: !dynamic_object {stored: false, indexed: {tokenizer: en_stem}}}
 """
 
 
@@ -202,6 +203,7 @@ def _event_keys(df: DataFrame) -> dict[str, object]:
         "shown": F.lit("no"),
         "user": F.struct(user.cast("string").alias("id"), F.concat(F.lit("u"), user.cast("string")).alias("name"), F.lit(1).alias("dropped")),
         "props": F.try_parse_json("props"),
+        "note": F.struct(F.element_at(F.array(*map(F.lit, ("it failed", "users reporting, reporters too", "retried"))), (n % 3 + 1).cast("int")).alias("said")),
         "more": F.struct((n % 3).alias("left"), F.array(F.struct(F.concat(F.lit("tag"), (n % 4).cast("string")).alias("name"))).alias("list")),
         "day": F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
     }
@@ -235,6 +237,8 @@ EVENT_FILTERS: dict[str, tuple[str, str]] = {
     "undeclared_number": ("more.left:2 AND odd:true", "event_id % 3 = 2 and event_id % 2 = 1"),
     "dynamic_array_path": ("more.list.name:tag3", "event_id % 4 = 3"),
     "dynamic_date": ("day:[2024-01-05T00:00:00Z TO 2024-01-09T12:00:00Z}", "date_trunc('second', ts) >= timestamp '2024-01-05' and date_trunc('second', ts) < timestamp '2024-01-09 12:00:00'"),
+    "dynamic_stems": ("note.said:reporter", "event_id % 3 = 1"),
+    "dynamic_stemmed_phrase": ('note.said:"user report"', "event_id % 3 = 1"),
     "dynamic_default": ("tag1", "event_id % 4 = 1"),
     "dynamic_exists": ("more.list.name:* AND NOT gone:*", "true"),
     "number_array": ("steps:6", "event_id % 7 = 6 or event_id % 5 = 6"),
@@ -396,7 +400,7 @@ def _addresses(spark: SparkSession, sf_dir: str, text: Column, query: str) -> Da
     configure(spark)
     ip = Field(("ip",), "ip", {"indexed": True})
     events = read_table(spark, sf_dir, "events").select("event_id", text.alias("ip"))
-    events = events.withColumn(address_name(ip), F.get(address_bytes(F.array("ip")), F.lit(0)))
+    events = events.withColumn(address_name(ip), address_bytes(F.col("ip")))
     return matches(Searchable(events, (ip,)), query).select("event_id", "ip")
 
 
@@ -415,12 +419,12 @@ def names_and_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tok_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens between white space."""
-    return read_table(spark, sf_dir, "benchmark").select("item_id", F.size(tokens(F.col("text"), "whitespace")).cast("long").alias("n_tokens"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"), "whitespace")).cast("long").alias("n_tokens"))
 
 
 def tok_en_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of each text. No SQL: tests hold the stemmer against worked examples."""
-    return read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tokens(F.col("text"), "en_stem"), " ").alias("stems"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens(F.col("text"), "en_stem"), " ").alias("stems"))
 
 
 def _bm25(query: str, limit: int, per: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -455,7 +459,7 @@ def limit_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and term frequency of every term, from the postings."""
-    found = postings(_table(spark, sf_dir, "benchmark"), _text("text"), "item_id")
+    found = postings(_table(spark, sf_dir, "documents"), _text("text"), "doc_id")
     return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -533,11 +537,11 @@ select event_id, case when event_id % 6 in (0, 4) or (event_id % 6 = 1 and event
     "bool_parse": "select doc_id, case doc_id % 4 when 0 then true when 1 then false end as value from labels",
     "number_parse": "select event_id, case event_id % 4 when 0 then event_id when 3 then -event_id end as value from events",
     "ip_range": "select event_id, '10.' || (event_id // 65536) % 256 || '.' || (event_id // 256) % 256 || '.' || event_id % 256 as ip from events where event_id % 16777216 between 256 and 767",
-    "tok_whitespace": r"select item_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::bigint as n_tokens from benchmark",
+    "tok_whitespace": r"select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::bigint as n_tokens from documents",
     "bm25_topk": _bm25_sql({"the": 1.0, "of": 1.0}, 10),
     "bm25_boost": _bm25_sql({"the": 2.5, "der": 1.0}, 50),
     "per_file_topk": _bm25_sql({"the": 1.0, "of": 1.0}, 3, "source"),
     "limit_n": "select doc_id from documents where lang = 'de' order by doc_id limit 25",
-    "postings_stats": f"select term, count(distinct item_id) as df, count(*) as tf from (select item_id, unnest({_sql_tokens()}) as term from benchmark) group by term",
+    "postings_stats": f"select term, count(distinct doc_id) as df, count(*) as tf from (select doc_id, unnest({_sql_tokens()}) as term from documents) group by term",
     "postings_and": f"select doc_id from documents where {_has('the')} and {_has('of')}",
 }

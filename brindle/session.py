@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: UTC keeps timestamps equal on every machine; LAST_WIN is the rule for a key that is declared and spilled over.
+#: UTC keeps timestamps equal on every machine; LAST_WIN is the rule for a key that is declared and spilled over,
+#: and the last of equal keys in one object counts.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -1,3 +1,4 @@
+import ipaddress
 import json
 import random
 from itertools import combinations
@@ -6,10 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.config import ConfigError, escape_name, load, split_name
-from brindle.functions.parse import ERRORS, parse_documents
+from brindle.functions.parse import ERRORS, address_bytes, parse_documents
+from brindle.functions.stem import stem
+from brindle.functions.tokenize import literal_tokens
 from brindle.operators.catalog import BadLineError, Catalog, CatalogError
+from brindle.operators.search import ranked
 from brindle.plans.bind import phrase
 from brindle.plans.grammar import QuerySyntaxError, parse_query
+from brindle.queries import QUERIES as REGISTERED
 from brindle.sources.connect import SourceError, connect, kafka_options, kafka_url, stdin_batches
 from brindle.streaming.ingest import ingest, milliseconds
 
@@ -223,3 +228,78 @@ def test_helpers(spark):
             parse_query(query)
     with pytest.raises(ConfigError):
         load(one("static_object", "{fields: []}", "array: true"))
+
+
+def test_addresses_against_plain_parsing(spark):
+    def plain(text):
+        try:
+            found = None if text is None or "%" in text else ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return found and (found.packed if found.version == 6 else b"\0" * 10 + b"\xff\xff" + found.packed)
+
+    rng = random.Random(3)
+    texts = [None, "", "::", "1::2::3", ":::", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", "1.2.3.4\n", "::1\n", "::1.2.3.4\n", "1.2.3.04", "fe80::1%eth0", "::g"]
+    for _ in range(500):
+        texts.append("".join(rng.choices(["1", "ab", ":", "::", ".", "0", "255", "FfFf", "1.2.3.4", "12"], k=rng.randint(1, 9))))
+        texts.append(":".join(rng.choices(["1", "ab", "", "0", "ffff", "1.2.3.4"], [5, 5, 1, 5, 5, 0.5], k=rng.randint(5, 9))))
+        texts.append(str(ipaddress.IPv6Address(rng.getrandbits(128) & ~(0xFFFF << 16 * rng.randint(0, 7)))))
+        texts.append(".".join(str(rng.randint(0, 300)) for _ in range(rng.choice([3, 4, 4, 4, 5]))))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", address_bytes(F.col("t")).alias("b")).collect()
+    assert [r.t for r in rows if (None if r.b is None else bytes(r.b)) != plain(r.t)] == []
+    assert sum(r.b is not None for r in rows) > 500
+
+
+def test_options_of_terms(spark, catalog):
+    catalog.create("""
+name: t
+path: p
+schema:
+  fields:
+    - {name: all, type: !text {indexed: {record: position}}}
+    - {name: often, type: !text {indexed: {record: freq}}}
+    - {name: once, type: !text {indexed: {record: basic, fieldnorms: false}}}
+""")
+    texts = ["b", "b a", "b b b b c d"]
+    catalog.index("t", lines(spark, [{"all": t, "often": t, "once": t} for t in texts]))
+    assert [json.loads(r.json)["all"] for r in catalog.search("t", "often:b", 9).collect()] == ["b b b b c d", "b", "b a"]
+    table = catalog.table("t")
+    assert len({round(r.score, 9) for r in ranked(table, "once:b").collect()}) == 1
+    assert len({round(r.score, 9) for r in ranked(table, "often:b").collect()}) == 3
+    assert len(found(catalog, "t", 'all:"b a"')) == 1
+    for field in ("often", "once"):
+        with pytest.raises(QuerySyntaxError):
+            found(catalog, "t", f'{field}:"b a"')
+    for options in ("{indexed: {record: some}}", "{indexed: {tokeniser: raw}}", "{indexed: {fieldnorms: 1}}"):
+        with pytest.raises(ConfigError):
+            load(one("text", options))
+    with pytest.raises(ConfigError):
+        load(one("dynamic_object", "{indexed: {fieldnorms: true}}"))
+
+
+def test_equal_keys_of_an_object(spark, catalog):
+    catalog.create(one("text"))
+    catalog.index("t", lines(spark, ['{"x":"a","more":{"k":1,"k":[2],"j":0},"x":"b"}']))
+    assert found(catalog, "t", "more.k:2 AND x:b") == ['{"more":{"j":0,"k":[2]},"x":"b"}']
+
+
+#: Pairs of the sample vocabulary that the stemmer's author publishes with the algorithm.
+STEMS = """
+consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistently consist
+consolation consol consolations consol consolatory consolatori console consol consolidate consolid consolidating consolid consoling consol consolingly consol
+consonant conson consorted consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspire conspir conspiring conspir
+constable constabl constance constanc constancy constanc knackeries knackeri knave knave knaves knave knavish knavish kneaded knead kneel kneel knees knee
+knew knew knightly knight knitted knit knitting knit knives knive knocker knocker knockers knocker knotted knot
+"""
+
+
+def test_stems_of_the_vocabulary():
+    words = STEMS.split()
+    assert [(w, stem(w)) for w in words[::2]] == list(zip(words[::2], words[1::2])) and len(words) > 70
+
+
+def test_stem_query_stems_every_token(spark):
+    sf = "/root/testdata/sf0.001"
+    plain = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for row in REGISTERED["tok_en_stem"](spark, sf).collect():
+        assert row.stems is plain[row.doc_id] is None or row.stems.split() == literal_tokens(plain[row.doc_id], "en_stem")
