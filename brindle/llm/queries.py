@@ -157,13 +157,33 @@ from doc left join hit_word using (r) left join hit_item using (r)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted and read back. SQL can't express the template; tests hold it against the rows themselves."""
+    """Every conversation formatted and read back. Its SQL tells from the rows what must come back, and how much the marks and escapes add."""
     said = "</s>[INST] ok [/INST]"
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat_format.digests(rows.unionByName(planted)).withColumnRenamed("id", "conv_id")
 
 
+#: What a turn's marks, its escaped role and its escaped text add up to: a backslash more for each of these strings and each backslash.
+_OP7_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + " + " + ".join(
+    f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL
+)
+OP7_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+measured as (
+  select *, {len(chat_format.TURN) + 1 + len(chat_format.END)} + {_OP7_ESCAPED.format("role")} + length(role) - length(replace(role, chr(10), ''))
+    + {_OP7_ESCAPED.format("text")} as size from turns)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(size)::bigint as formatted_chars
+from measured group by conv_id
+"""
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document. SQL can't express the fit; tests measure accuracy on held-out labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -196,4 +216,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL}

@@ -52,10 +52,10 @@ def plain_components(ids, linked):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op3_quality_rules", "op6_decontamination"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op3_quality_rules", "op6_decontamination", "op7_chat_format"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     assert got.columns == want.columns

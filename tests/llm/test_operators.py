@@ -105,6 +105,35 @@ def test_tokens_against_library(spark, texts):
     assert counter.counts(noise) == [count(t) for t in noise]
 
 
+def test_tokens_of_edge_rows(spark, edge):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, count = Tokenizer.from_file(path), token_count.token_counter(spark, path)
+    counted = edge.select("*", count(F.col("text")).alias("n_tokens"))
+    assert counted.columns == [*edge.columns, "n_tokens"] and counted.limit(0).count() == 0
+    want = [(t, "clash", len(own.encode(t or "", add_special_tokens=False).ids)) for t in EDGE]
+    assert sorted(((r.text, r.r, r.n_tokens) for r in counted.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_chat_sql_counts_escapes(spark, tmp_path):
+    import duckdb
+
+    from brindle.llm.queries import ORACLES
+
+    random.seed(8)
+    pieces = [*chat_format.CONTROL, "\\", "n", "\n", "<", "|", "é", "<<", "s>", "[", chat_format.END]
+    rows = [(random.choice([None, *range(9)]), random.choice([None, *range(5)]), random.choice(["user", "assistant", None, "a\nb", "<s>"]), random.choice([None, "".join(random.choices(pieces, k=6))])) for _ in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = QUERIES["op7_chat_format"](spark, str(tmp_path)), con.sql(ORACLES["op7_chat_format"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_chat_round_trip_on_noise():
     random.seed(2)
     pieces = [*chat_format.CONTROL, "\\", "n", "\n", "<", "|", "turn|>", "[", "a", "é", "s>", "\\n", chat_format.END]
@@ -157,6 +186,52 @@ def test_classifier(spark):
     assert np.mean([a == b for a, b in held]) > 0.8
 
 
+def test_classifier_fit_against_plain():
+    """Ratios by counting, and the dual problem by projected gradients over all rows at once."""
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.choice(40, size=rng.integers(0, 12))).astype(np.int32) for _ in range(60)]
+    labels = np.array([int(rng.random() < (0.9 if 3 in t or 7 in t else 0.3)) for t in texts])
+    positive = labels.sum()
+
+    ones = [[1 + sum(place in t for t, label in zip(texts, labels) if label == c) for place in range(40)] for c in (0, 1)]
+    unseen = (1 << quality_classifier.BITS) - 40
+    ratios = np.array([np.log(b / (sum(ones[1]) + unseen)) - np.log(a / (sum(ones[0]) + unseen)) for a, b in zip(*ones)])
+    x = np.zeros((60, 41))
+    for row, places in zip(x, texts):
+        row[places] = ratios[places] / np.sqrt(max(1, len(places)))
+        row[40] = 1
+    signs = np.where(labels == 1, 1.0, -1.0)
+    most = quality_classifier.COST * 60 / 2 / np.where(labels == 1, positive, 60 - positive)
+    inner = (signs[:, None] * x) @ (signs[:, None] * x).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(inner)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - inner @ alpha), 0, most)
+    want = x @ (x.T @ (alpha * signs))
+
+    def loss(margins, norm):
+        return norm / 2 + (most * np.maximum(0, 1 - signs * margins)).sum()
+
+    exact = quality_classifier.fit(texts, labels, passes=2000)
+    assert np.allclose([exact.margin(t) for t in texts], want, atol=1e-3)
+    quick = quality_classifier.fit(texts, labels)
+    w = quick.weights[:40] / ratios
+    least = loss(want, np.square(x.T @ (alpha * signs)).sum())
+    assert least - 1e-6 <= loss(np.array([quick.margin(t) for t in texts]), w @ w + quick.bias**2) <= 1.02 * least
+
+
+def test_classifier_edge_rows(spark, edge):
+    from pyspark.sql import functions as F
+
+    docs = edge.unionByName(spark.createDataFrame([(n, f"good plain text number {n}" if n % 2 else f"junk junk {n} junk", "x") for n in range(100, 160)], edge.schema))
+    labels = spark.createDataFrame([(n, n % 2) for n in range(100, 160)] + [(101, None), (None, 1), (103, 5), (9999, 0)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    scored = docs.select("*", quality_classifier.scorer(spark, model)(F.col("text")).alias("s"))
+    rows = scored.collect()
+    assert len(rows) == len(EDGE) + 60 and all(0 <= r.s <= 1 for r in rows) and scored.limit(0).count() == 0
+    assert len({r.s for r in rows if not (r.text or "").strip()}) == 1 and len({r.s for r in rows if r.text == "same text here"}) == 1
+    assert all((r.s >= 0.5) == bool(r.doc_id % 2) for r in rows if (r.doc_id or 0) >= 100)
+
+
 def test_classifier_without_both_classes(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_classifier.train(edge, none)
