@@ -1,10 +1,12 @@
 """Chat formatting by a template compiler.
 
 The template language is a small sandbox: text, ``{{ expression }}``,
-``{% for x in messages %}``, ``{% if %} / {% elif %} / {% else %}`` and
-``{% generation %}``, which marks what carries loss. Expressions have literals,
-names, ``x.field``, ``== != + and or not``, parentheses and the filters of
-``FILTERS``; nothing else can be reached from a template. ``parse`` gives a syntax
+``{% for x in messages %}`` (with ``loop.index``, ``index0``, ``first`` and ``last``),
+``{% if %} / {% elif %} / {% else %}``, ``{% set x = expression %}``, which holds to the end
+of the loop's turn, ``{# comment #}`` and ``{% generation %}``, which marks what carries loss; a
+minus inside a tag's bracket takes the white space next to it away. Expressions have literals,
+names, ``x.field``, ``== != in + and or not``, ``is`` with the tests of ``TESTS``, parentheses and the
+filters of ``FILTERS``; nothing else can be reached from a template. ``parse`` gives a syntax
 tree, ``fold`` computes what is constant, and ``compile_template`` turns the tree
 into Python closures. A closure sends pieces of output to ``emit`` with their mask.
 
@@ -13,7 +15,7 @@ backslashes are doubled, and a backslash goes after the first character of
 every control string. ``Reader`` reads the turns and the loss text back.
 
 Conversations are dealt by id and sorted by turn; a task streams through its rows,
-so that it holds one turn at a time, however long the conversation is. (A digest
+so that it holds two turns at a time, however long the conversation is. (A digest
 over a whole conversation is sequential; a hot one costs time, not memory.)
 
 Defined results: a null role or text is empty; rows with equal turns are ordered
@@ -64,12 +66,14 @@ def unescape(text: str) -> str:
 
 FILTERS: dict[str, Callable[[str], str]] = {"escape": escape, "escape_line": escape_line, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 
+TESTS: dict[str, Callable[[Any], bool]] = {"defined": lambda v: v is not None, "none": lambda v: v is None, "string": lambda v: isinstance(v, str), "number": lambda v: isinstance(v, int)}
+
 
 class TemplateError(ValueError):
     """The template is not of the language."""
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.DOTALL)
+_TAG = re.compile(r"\{\{(-?)(?P<print>.*?)(-?)\}\}|\{%(-?)(?P<tag>.*?)(-?)%\}|\{#(-?).*?(-?)#\}", re.DOTALL)
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z][A-Za-z0-9_]*)|(==|!=|[+|.()]))")
 _LETTERS = {"n": "\n", "t": "\t"}
 
@@ -131,8 +135,18 @@ class _Expression:
 
     def compared(self) -> tuple:
         tree = self.added()
-        while sign := self.took("==", "!="):
-            tree = (sign, tree, self.added())
+        while sign := self.took("==", "!=", "in", "not", "is"):
+            if sign == "is":
+                barred, test = self.took("not"), self.name()
+                if test not in TESTS:
+                    raise TemplateError(f"no test {test!r}")
+                tree = ("not", ("is", tree, test)) if barred else ("is", tree, test)
+            elif sign == "not":
+                if not self.took("in"):
+                    raise TemplateError("after a value, not needs in")
+                tree = ("not", ("in", tree, self.added()))
+            else:
+                tree = (sign, tree, self.added())
         return tree
 
     def added(self) -> tuple:
@@ -179,21 +193,35 @@ def parse(source: str) -> tuple:
     def put(node: tuple) -> None:
         open_tags[-1][1].append(node)
 
-    at = 0
+    at, bare = 0, False
+
+    def put_text(text: str, bare_end: bool) -> None:
+        text = text.lstrip() if bare else text
+        text = text.rstrip() if bare_end else text
+        if text:
+            put(("text", text))
+
     for match in _TAG.finditer(source):
-        if match.start() > at:
-            put(("text", source[at : match.start()]))
-        at = match.end()
-        if match[1] is not None:
-            put(("print", _Expression(match[1]).whole()))
+        before, after = [mark == "-" for mark in match.group(1, 3, 4, 6, 7, 8) if mark is not None]
+        put_text(source[at : match.start()], before)
+        at, bare = match.end(), after
+        if match["print"] is not None:
+            put(("print", _Expression(match["print"]).whole()))
+            continue
+        if match["tag"] is None:
             continue
-        word, _, rest = match[2].strip().partition(" ")
+        word, _, rest = match["tag"].strip().partition(" ")
         top = open_tags[-1]
         if word == "for":
             loop = re.fullmatch(r"\s*([A-Za-z]\w*)\s+in\s+([A-Za-z]\w*)\s*", rest)
             if not loop:
                 raise TemplateError(f"can't read for {rest!r}")
             open_tags.append(["for", [], loop[1], loop[2]])
+        elif word == "set":
+            name, sign, value = rest.partition("=")
+            if not sign or not re.fullmatch(r"[A-Za-z]\w*", name.strip()):
+                raise TemplateError(f"can't read set {rest!r}")
+            put(("set", name.strip(), _Expression(value).whole()))
         elif word == "generation":
             open_tags.append(["generation", []])
         elif word == "if":
@@ -215,8 +243,7 @@ def parse(source: str) -> tuple:
             raise TemplateError(f"unexpected {word!r}")
     if len(open_tags) > 1:
         raise TemplateError(f"{open_tags[-1][0]} is open")
-    if at < len(source):
-        put(("text", source[at:]))
+    put_text(source[at:], False)
     return ("block", root)
 
 
@@ -229,6 +256,8 @@ def _apply(kind: str, a: Any, b: Any) -> Any:
         return a == b
     if kind == "!=":
         return a != b
+    if kind == "in":
+        return _text(a) in b if isinstance(b, str) else isinstance(b, dict) and a in b
     if kind == "+":
         return a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b)
     return (a or b) if kind == "or" else (a and b)
@@ -237,7 +266,7 @@ def _apply(kind: str, a: Any, b: Any) -> Any:
 def fold(node: tuple) -> tuple:
     """The same tree with constants computed, dead arms gone and neighbouring text joined."""
     kind = node[0]
-    if kind in ("==", "!=", "+", "or", "and"):
+    if kind in ("==", "!=", "in", "+", "or", "and"):
         a, b = fold(node[1]), fold(node[2])
         if a[0] == b[0] == "value":
             return ("value", _apply(kind, a[1], b[1]))
@@ -245,6 +274,11 @@ def fold(node: tuple) -> tuple:
     if kind == "not":
         a = fold(node[1])
         return ("value", not a[1]) if a[0] == "value" else ("not", a)
+    if kind == "is":
+        a = fold(node[1])
+        return ("value", TESTS[node[2]](a[1])) if a[0] == "value" else ("is", a, node[2])
+    if kind == "set":
+        return ("set", node[1], fold(node[2]))
     if kind == "filter":
         a = fold(node[1])
         return ("value", FILTERS[node[2]](_text(a[1]))) if a[0] == "value" else ("filter", a, node[2])
@@ -281,6 +315,7 @@ def fold(node: tuple) -> tuple:
     return node
 
 
+_NO_MORE = object()
 Emit = Callable[[str, bool], None]
 Scope = dict[str, Any]
 
@@ -298,6 +333,9 @@ def _value(node: tuple) -> Callable[[Scope], Any]:
     if kind == "filter":
         change = FILTERS[node[2]]
         return lambda scope: change(_text(a(scope)))
+    if kind == "is":
+        test = TESTS[node[2]]
+        return lambda scope: test(a(scope))
     if kind == "not":
         return lambda scope: not a(scope)
     b = _value(node[2])
@@ -316,6 +354,9 @@ def _action(node: tuple, masked: bool) -> Callable[[Scope, Emit], None]:
     if kind == "print":
         value = _value(node[1])
         return lambda scope, emit: emit(_text(value(scope)), masked)
+    if kind == "set":
+        kept = _value(node[2])
+        return lambda scope, emit: scope.__setitem__(node[1], kept(scope))
     if kind == "generation":
         return _action(node[1], True)
     if kind == "if":
@@ -332,8 +373,14 @@ def _action(node: tuple, masked: bool) -> Callable[[Scope, Emit], None]:
         body = _action(tree, masked)
 
         def loop(scope: Scope, emit: Emit) -> None:
-            for n, item in enumerate(scope.get(over) or (), scope["_start"]):
-                body({**scope, name: item, "loop": {"index": n + 1, "index0": n, "first": n == 0}}, emit)
+            items = iter(scope.get(over) or ())
+            item = next(items, _NO_MORE)
+            n = scope["_start"]
+            while item is not _NO_MORE:
+                later = next(items, _NO_MORE)
+                place = {"index": n + 1, "index0": n, "first": n == 0, "last": later is _NO_MORE and not scope["_more"]}
+                body({**scope, name: item, "loop": place}, emit)
+                item, n = later, n + 1
 
         return loop
     steps = [_action(child, masked) for child in node[1]]
@@ -347,9 +394,9 @@ def _action(node: tuple, masked: bool) -> Callable[[Scope, Emit], None]:
 
 @cache
 def compile_template(source: str) -> Callable[..., None]:
-    """A function that renders messages, which may be an iterator, piece by piece; loop indexes count from ``start``."""
+    """A function that renders messages, which may be an iterator, piece by piece; loop indexes count from ``start``, and ``more`` tells that others follow."""
     run = _action(fold(parse(source)), False)
-    return lambda messages, emit, start=0: run({"messages": messages, "_start": start}, emit)
+    return lambda messages, emit, start=0, more=False: run({"messages": messages, "_start": start, "_more": more}, emit)
 
 
 def render(messages: Iterable[dict], template: str = DEFAULT) -> tuple[str, list[tuple[int, int]]]:
@@ -455,7 +502,7 @@ def _stream(rows: DataFrame, template: str, conv: str, turn: str, role: str, tex
                 nth = 0
                 for index, message in enumerate(messages()):
                     pieces: list[tuple] = []
-                    run([message], lambda t, m, pieces=pieces: pieces.append((t, m)), index)
+                    run([message], lambda t, m, pieces=pieces: pieces.append((t, m)), index, ahead is not None and ahead[0] == key)
                     for piece, masked in pieces:
                         out.append((key, nth, piece, masked))
                         nth += 1

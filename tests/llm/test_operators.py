@@ -171,11 +171,35 @@ def test_chat_edges_and_language(spark):
     joined = "".join(r.piece for r in chat_format.formatted(rows).where("id = 1").orderBy("nth").collect())
     assert joined == chat_format.render([{"role": "assistant", "text": "b"}] * 2)[0]
     assert chat_format.fold(chat_format.parse("a{{ 'b' + 'c' | upper }}{% if 1 == 2 %}x{% else %}y{% endif %}")) == ("block", [("text", "abCy")])
-    for bad in ("{% for x %}", "{% if a %}", "{{ a | nofilter }}", "{{ }}", "{% endif %}"):
+    for bad in ("{% for x %}", "{% if a %}", "{{ a | nofilter }}", "{{ }}", "{% endif %}", "{{ a not b }}", "{{ a is odd }}", "{% set 1 = a %}", "{% set a %}", "{{ loop.__class__ }}"):
         with pytest.raises(chat_format.TemplateError):
             chat_format.compile_template(bad)
 
 
+@pytest.mark.parametrize(
+    ("template", "text"),
+    [
+        ("a {#- no {{ x }} -#} b", "ab"),
+        ("{% for m in messages -%}\n  {{- m.text }}{% if not loop.last %}, {% endif %}\n{%- endfor %}", "hi, you, end"),
+        ("{% for m in messages %}{% set t = m.text + '!' %}{{ t | upper }}{% endfor %}{{ t }}", "HI!YOU!END!"),
+        ("{% for m in messages %}{{ loop.index if_none }}{% endfor %}", None),
+        ("{% for m in messages %}{% if m.role in 'user tool' and m.text not in 'you' %}{{ loop.index }}{% endif %}{% endfor %}", "1"),
+        ("{% if nothing is defined %}a{% elif nothing is not none %}b{% elif 'x' is string and 1 is number %}c{% endif %}", "c"),
+        ("{{ 'b' in 'abc' }}{{ 'b' not in 'abc' }}{{ 'role' in m }}", "TrueFalseFalse"),
+    ],
+)
+def test_chat_template_language(spark, template, text):
+    said = [{"role": "user", "text": "hi"}, {"role": "user", "text": "you"}, {"role": "assistant", "text": "end"}]
+    if text is None:
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.compile_template(template)
+        return
+    assert chat_format.render(said, template)[0] == text
+    if [node[0] for node in chat_format.fold(chat_format.parse(template))[1]] == ["for"]:
+        rows = spark.createDataFrame([(1, n, m["role"], m["text"]) for n, m in enumerate(said)], "conv_id long, turn long, role string, text string")
+        assert "".join(r.piece for r in chat_format.formatted(rows, template).orderBy("nth").collect()) == text
+
+
 def test_classifier(spark):
     import zlib
 
