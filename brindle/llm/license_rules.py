@@ -172,4 +172,140 @@ proprietary | 34 | permission | (?:may not|no part of this [a-z]+ may) be reprod
 proprietary | 33 | personal | for personal use only
 noncommercial | 36 | commercial noncommercial | for non ?commercial use only
 research-only | 36 | research | for research (?:purposes|use) only
+gpl-3 | 66 | copyleft | the gnu general public license is a free copyleft license for software and other kinds of works
+agpl-3 | 68 | affero | the gnu affero general public license is a free copyleft license for software and other kinds of works
+agpl-3 | 52 | remotely | if your software can interact with users remotely through a computer network
+gpl-2 | 66 | placed | a notice placed by the copyright holder saying it may be distributed under the terms of this general public license
+gpl | 50 | programmer | you should also get your employer if you work as a programmer
+gpl | 56 | incorporating | general public license does not permit incorporating your program into proprietary programs
+gpl | 48 | interactive | if the program does terminal interaction make it output a short notice like this when it starts in an interactive mode
+lgpl-3 | 68 | lesser | this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+lgpl-2.1 | 66 | successor | this is the first released version of the lesser gpl it also counts as the successor of the gnu library public license
+gfdl | 54 | textbook | to make a manual textbook or other functional and useful document free in the sense of freedom
+apache-2 | 56 | contributor | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-2 | 54 | recipients | you must give any other recipients of the work or derivative works a copy of this license
+apache-2 | 54 | prominent | you must cause any modified files to carry prominent notices stating that you changed the files
+apache-1.1 | 62 | apache | the names apache and apache software foundation must not be used to endorse or promote products
+apache-1 | 62 | apache | the names apache server and apache group must not be used to endorse or promote products
+bsd | 46 | redistributions | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | 46 | redistributions | redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd-4 | 57 | berkeley | this product includes software developed by the university of california berkeley and its contributors
+bsd-3-clear | 58 | patent | no express or implied licenses to any party s patent rights are granted by this license
+mpl-2 | 68 | mpl | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1 | 58 | alternatively | alternatively the contents of this file may be used under the terms of either the gnu general public license version 2 or later
+epl | 68 | eclipse | the accompanying program is provided under the terms of this eclipse public license
+cpl | 68 | common | the accompanying program is provided under the terms of this common public license
+epl-2 | 62 | secondary | this source code may also be made available under the following secondary licenses
+cddl-1 | 62 | opensolaris | you can obtain a copy of the license at usr src opensolaris license
+artistic-2 | 62 | establishes | this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+artistic-1 | 58 | semblance | the copyright holder maintains some semblance of artistic control over the development of the package
+boost-1 | 62 | organization | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+zlib | 58 | misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib | 56 | altered | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+unlicense | 66 | anyone | anyone is free to copy modify publish use compile sell or distribute this software
+unlicense | 62 | unlicense | https? unlicense org
+wtfpl-2 | 66 | fuck | you just do what the fuck you want to
+psf-2 | 62 | psf | psf hereby grants licensee a nonexclusive royalty free world wide license
+python-2 | 62 | beopen | beopen hereby grants licensee a non exclusive royalty free world wide license
+ofl-1.1 | 66 | fonts | the fonts including any derivative works can be bundled embedded redistributed and or sold with any software
+ofl-1.1 | 66 | font | the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects
+cc0-1 | 66 | deed | the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1 | 66 | waived | to the extent possible under law (?:[a-z0-9]+ ){1,12}has waived all copyright and related or neighboring rights
+cc-by | 44 | credit | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by-sa | 46 | remix | if you remix transform or build upon the material you must distribute your contributions under the same license as the original
+cc-by-nd | 46 | remix | if you remix transform or build upon the material you may not distribute the modified material
+cc-by-nc | 44 | material | you may not use the material for commercial purposes
+cc | 43 | commons | this work is licensed under a creative commons licen[cs]e
+eupl | 56 | licence | you may not use this work except in compliance with the licence
+ms-pl | 56 | accept | if you use the software you accept this license if you do not accept the license do not use the software
+ncsa | 54 | neither | neither the names of (?:[a-z0-9]+ ){1,12}nor the names of its contributors may be used to endorse or promote products
+upl-1 | 58 | forth | subject to the condition set forth below to any person obtaining a copy of this software associated documentation and or data
+postgresql | 58 | agreement | for any purpose without fee and without a written agreement is hereby granted
+postgresql | 56 | california | in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages
+php-3.01 | 62 | php | the name php must not be used to endorse or promote products derived from this software
+php-3.01 | 62 | php | this product includes php software freely available from
+openssl | 62 | toolkit | the names openssl toolkit and openssl project must not be used to endorse or promote products
+openssl | 62 | cryptographic | this product includes cryptographic software written by eric young
+vim | 62 | vim | there are no restrictions on distributing unmodified copies of vim
+bzip2 | 62 | bzip2 libbzip2 | (?:lib)?bzip2 licen[cs]e
+bzip2 | 64 | libbzip2 | this program bzip2 the associated library libbzip2 and all documentation
+unicode | 66 | unicode | to any person obtaining a copy of the unicode data files and any associated documentation
+unicode | 62 | unicode | unicode (?:licen[cs]e agreement|license v3|terms of use)
+icu | 62 | icu | icu license icu 1 8 1 and later
+hpnd | 62 | historical | historical permission notice and disclaimer
+lppl-1.3 | 72 | latex | latex project public license (?:version |v)?1 3[a-c]?
+lppl | 62 | latex | latex project public license
+lppl | 66 | latex | distributed and or modified under the conditions of the latex project public license
+apsl-2 | 72 | apple apsl | (?:apple public source license|apsl)(?: version)? 2(?: 0)?
+apsl | 62 | apple | apple public source license
+spl-1 | 62 | sun | sun public license
+sissl | 62 | sun | sun industry standards source license
+nokia-1 | 62 | nokia | nokia open source license
+intel | 62 | intel | intel open source license
+rscpl | 62 | ricoh | ricoh source code public license
+lpl-1.02 | 62 | lucent | lucent public license
+watcom-1 | 62 | watcom | sybase open watcom public license
+motosoto | 62 | motosoto | motosoto open source license
+naumen | 62 | naumen | naumen public license
+frameworx-1 | 62 | frameworx | frameworx open license
+aal | 62 | assurance | attribution assurance license
+entessa | 62 | entessa | entessa public license
+eudatagrid | 62 | datagrid | eu datagrid software license
+rpl-1.5 | 62 | reciprocal | reciprocal public license
+cpal-1 | 64 | attribution | common public attribution license
+nposl-3 | 66 | profit | non profit open software license
+nasa-1.3 | 62 | nasa | nasa open source agreement
+multics | 62 | multics | multics license
+xnet | 62 | xnet | xnet license
+vsl-1 | 62 | vovida | vovida software license
+oldap-2.8 | 62 | openldap | openldap public license
+ogtsl | 62 | suite | open group test suite license
+erlpl-1.1 | 62 | erlang | erlang public license
+ypl | 62 | yahoo | yahoo public license
+zimbra | 62 | zimbra | zimbra public license
+apl-1 | 62 | adaptive | adaptive public license
+catosl-1.1 | 62 | trusted | computer associates trusted open source license
+parity | 62 | parity | parity public license
+prosperity | 62 | prosperity | prosperity public license
+blueoak-1 | 62 | oak | blue oak model license
+cal-1 | 62 | autonomy | cryptographic autonomy license
+hippocratic | 62 | hippocratic | hippocratic license
+anti-996 | 62 | 996 | anti 996 license
+opl-1 | 62 | publication | open publication license
+ocl | 62 | content | open content license
+ogl-1 | 62 | game | open game license
+free-art | 62 | art | free art license
+dsl | 62 | science | design science license
+dl-de-by-2 | 62 | germany | data licen[cs]e germany attribution(?: version)? 2 0
+dl-de-zero-2 | 62 | germany | data licen[cs]e germany zero(?: version)? 2 0
+cdla-permissive | 62 | community | community data license agreement permissive
+cdla-sharing | 62 | community | community data license agreement sharing
+confluent | 62 | confluent | confluent community license
+rsal-2 | 62 | redis | redis source available license
+timescale | 62 | timescale | timescale license
+fsl-1.1 | 62 | functional | functional source license
+cockroach | 62 | cockroachdb | cockroachdb community license
+gemma | 62 | gemma | gemma terms of use
+tmate | 62 | tmate | tmate open source license
+jasper-2 | 62 | jasper | jasper license(?: version)? 2 0
+libtiff | 62 | libtiff | libtiff license
+giftware | 62 | giftware | giftware license
+info-zip | 62 | zip | info zip license
+xfree86-1.1 | 62 | xfree86 | xfree86 license(?: version)? 1 1
+sgi-b-2 | 62 | sgi | sgi free software license b
+sendmail | 62 | sendmail | sendmail license
+ipa | 62 | ipa | ipa font license(?: agreement)?
+arphic | 62 | arphic | arphic public license
+bitstream-vera | 62 | vera | bitstream vera (?:fonts? )?(?:copyright|license)
+baekmuk | 62 | baekmuk | baekmuk license
+crossword | 62 | crossword | crossword license
+gnuplot | 62 | gnuplot | gnuplot license
+noncommercial | 38 | purposes | for non ?commercial purposes only
+noncommercial | 38 | purposes | for personal and non ?commercial (?:use|purposes)(?: only)?
+research-only | 38 | academic | for academic (?:use|research|purposes) only
+proprietary | 34 | evaluation | for evaluation purposes only
+proprietary | 34 | trade | contains trade secrets (?:and|or) proprietary information
+proprietary | 33 | reverse | you may not reverse engineer decompile or disassemble
+adobe-glyph | 62 | glyph | adobe glyph list license
+zend-2 | 62 | zend | zend license(?: version)? 2 0
 """
