@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.config import DYNAMIC, Field, IndexConfig, split_name
-from brindle.functions.parse import address_name, format_time, is_number, json_path, kind_of
+from brindle.functions.parse import address_name, format_time, is_number, json_path, kind_of, let
 from brindle.functions.tokenize import literal_tokens, token_lists, tokens
 from brindle.plans.grammar import Among, Boolean, Everything, Exists, Node, QuerySyntaxError, Range, Term
 
@@ -192,32 +192,45 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
     base = column(field.name)
     if not path:
         return _anywhere(base, field, leaf)
-    value = F.try_variant_get(base, json_path(path), "variant")
-    if len(path) > 1 and field.options.get("expand_dots", True):
-        value = F.coalesce(value, F.try_variant_get(base, json_path([".".join(path)]), "variant"))
-    inner = _through_arrays(base, path) if len(path) > 1 else None
+    deep = len(path) > 1
+
+    def value(b: Column) -> Column:
+        found = F.try_variant_get(b, json_path(path), "variant")
+        if deep and field.options.get("expand_dots", True):
+            found = F.coalesce(found, F.try_variant_get(b, json_path([".".join(path)]), "variant"))
+        return found
+
+    def begun(b: Column) -> Column:
+        """Whether an object has the path's first key, or all of it as one: most have neither, and are done."""
+        first = F.try_variant_get(b, json_path(path[:1]), "variant").isNotNull()
+        return first | F.try_variant_get(b, json_path([".".join(path)]), "variant").isNotNull() if deep else first
+
+    def something(v: Column) -> Column:
+        return v.isNotNull() & (kind_of(v) != "VOID")
+
+    # The column may stand for an expression that parses the document: it is named once.
     if isinstance(leaf, Exists):
-        there = value.isNotNull() & (kind_of(value) != "VOID")
-        return there if inner is None else there | F.coalesce(F.exists(inner, lambda v: v.isNotNull() & (kind_of(v) != "VOID")), F.lit(False))
-    items = F.coalesce(_elements(value), F.when(value.isNotNull(), F.array(value)), *([] if inner is None else [inner]))
+        return let(base, lambda b: begun(b) & (let(value(b), something) | F.coalesce(F.exists(_through_arrays(b, path), something), F.lit(False))) if deep else let(value(b), something))
+    # But a UDF's input takes no lambda that names another's variable.
+    once = (lambda v, then: then(v)) if field.tokenizer == "en_stem" else let
+    items = once(base, lambda b: F.when(begun(b), once(value(b), lambda v: F.coalesce(_elements(v), F.when(v.isNotNull(), F.array(v)), *([_through_arrays(b, path)] if deep else [])))))
 
     def string(v: Column) -> Column:
         return F.when(kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
-    def spoken(v: Column) -> Column:
+    def spoken(text: Column) -> Column:
         # A range over words doesn't fit a string that is a time: there it is one of times only.
-        return F.when(format_time(string(v), "rfc3339").isNull(), string(v)) if isinstance(leaf, Range) else string(v)
+        return F.when(format_time(text, "rfc3339").isNull(), text) if isinstance(leaf, Range) else text
 
-    def one(v: Column, words: Column) -> Column:
-        text = string(v)
+    def one(v: Column, kind: Column, text: Column, words: Column) -> Column:
         readings = [_text_leaf(words, field, leaf)]
         kinds = {
-            "number": F.when(is_number(v), F.try_variant_get(v, "$", "double")),
-            "boolean": F.when(kind_of(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
+            "number": F.when(is_number(v, kind), F.try_variant_get(v, "$", "double")),
+            "boolean": F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")),
             "datetime": format_time(text, "rfc3339"),
         }
-        for kind, held in kinds.items():
-            typed = Field(("_",), kind, {})
+        for name, held in kinds.items():
+            typed = Field(("_",), name, {})
             if isinstance(leaf, Term):
                 wanted = literal(typed, leaf.text)
                 readings += [held == wanted] if wanted is not None else []
@@ -226,10 +239,16 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
             else:
                 low, high = (None if b is None else literal(typed, b) for b in (leaf.low, leaf.high))
                 if (low is None) == (leaf.low is None) and (high is None) == (leaf.high is None):
-                    readings.append(_between(held, low, high, leaf))
+                    readings.append(let(held, lambda x: _between(x, low, high, leaf)))  # noqa: B023
         return _any([F.coalesce(r, F.lit(False)) for r in readings])
 
-    return F.exists(F.zip_with(items, token_lists(F.transform(items, spoken), field.tokenizer), one), lambda found: found)
+    def read(v: Column, words: Callable[[Column], Column]) -> Column:
+        return let(kind_of(v), lambda kind: let(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), lambda text: let(words(text), lambda w: one(v, kind, text, w))))
+
+    if field.tokenizer != "en_stem":
+        return F.exists(items, lambda v: read(v, lambda text: tokens(spoken(text), field.tokenizer)))
+    stems = token_lists(F.transform(items, lambda v: spoken(string(v))), field.tokenizer)
+    return F.exists(F.zip_with(items, stems, lambda v, words: read(v, lambda _: words)), lambda found: found)
 
 
 def _elements(v: Column) -> Column:

@@ -17,7 +17,7 @@ from brindle.plans.bind import Searchable
 from brindle.plans.shared import shared_dir
 from brindle.session import configure
 from brindle.sources.connect import connect, kafka_options
-from brindle.sources.tables import read_table
+from brindle.sources.tables import dealt, read_table
 from brindle.streaming.ingest import ingest, milliseconds
 
 
@@ -157,7 +157,7 @@ def _lines(table: str, keys: Callable[[DataFrame], dict[str, object]]) -> Callab
 
     def made(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        df = read_table(spark, sf_dir, table)
+        df = dealt(read_table(spark, sf_dir, table))
         return df.select(F.to_json(F.struct(*[value.alias(key) for key, value in keys(df).items()])).alias("value"))
 
     return made

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.config import ConfigError, escape_name, load, split_name
 from brindle.functions.parse import ERRORS, address_bytes, parse_documents
 from brindle.functions.stem import stem
-from brindle.functions.tokenize import literal_tokens
+from brindle.functions.tokenize import literal_tokens, token_lists, tokens
 from brindle.operators.catalog import BadLineError, Catalog, CatalogError
 from brindle.operators.search import ranked
 from brindle.plans.bind import phrase
@@ -303,3 +303,28 @@ def test_stem_query_stems_every_token(spark):
     plain = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for row in REGISTERED["tok_en_stem"](spark, sf).collect():
         assert row.stems is plain[row.doc_id] is None or row.stems.split() == literal_tokens(plain[row.doc_id], "en_stem")
+
+
+@pytest.mark.parametrize("name", ["dynamic_array_path", "undeclared_number", "dynamic_date", "dynamic_default", "dynamic_exists", "boolean_field", "result_json", "index_rejects"])
+def test_a_line_is_parsed_once(spark, name):
+    plan = REGISTERED[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_events_are_dealt_over_all_cores(spark):
+    assert REGISTERED["boolean_field"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_stems_in_lists(spark):
+    texts = [["users reporting", None, ""], None, [], [None], ["ponies", "Users"]]
+    df = spark.createDataFrame([(n, t, None if not t else t[0]) for n, t in enumerate(texts)], "n int, t array<string>, x string").coalesce(1)
+    rows = df.select("n", token_lists(F.col("t"), "en_stem").alias("l"), tokens(F.col("x"), "en_stem").alias("w")).orderBy("n").collect()
+    assert [r.l for r in rows] == [[["user", "report"], None, []], None, [], [None], [["poni"], ["user"]]]
+    assert [r.w for r in rows] == [["user", "report"], None, None, None, ["poni"]]
+
+
+def test_paths_begin_with_a_key_of_the_object(spark, catalog):
+    catalog.create("name: t\npath: p\nschema:\n  fields:\n    - {name: d, type: !dynamic_object {expand_dots: true}}\n")
+    catalog.index("t", lines(spark, [{"d": {"a.b": "yes"}, "n": 1}, {"d": {"a": [{"b": "yes"}]}, "n": 2}, {"d": {"a": {"b": None}}, "n": 3}, {"d": {"b": "yes"}, "n": 4}, {"n": 5}]))
+    for query in ("d.a.b:yes", "d.a.b:*"):
+        assert sorted(json.loads(j)["n"] for j in found(catalog, "t", query)) == [1, 2]
