@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,15 +17,34 @@ from brindle.functions.stem import stem
 TOKEN_BYTES = 40
 
 
+#: Tokens that are stemmed at a time.
+TOKENS_AT_ONCE = 1 << 20
+
+
+def _stems(words: pa.Array) -> pa.Array:
+    """The stem of each word; a word is made a Python string once for many places."""
+    made = []
+    for at in range(0, len(words), TOKENS_AT_ONCE):
+        coded = words[at : at + TOKENS_AT_ONCE].dictionary_encode()
+        made.append(pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices))
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+def _inside(lists: pa.ListArray, change: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """The lists with all their items changed at once; null lists stay null."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32"))
+    return pa.ListArray.from_arrays(offsets, change(lists.flatten()), mask=lists.is_null())
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else [stem(w) for w in t] for t in tokens.to_pylist()], pa.list_(pa.string()))
+    return _inside(tokens, _stems)
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _stemmed_lists(lists: pa.Array) -> pa.Array:
-    stems = [row if row is None else [t if t is None else [stem(w) for w in t] for t in row] for row in lists.to_pylist()]
-    return pa.array(stems, pa.list_(pa.list_(pa.string())))
+    return _inside(lists, lambda inner: _inside(inner, _stems))
 
 
 def tokens(text: Column, tokenizer: str = "default") -> Column:
