@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,16 @@ EPOCH = (72_057_595, 8_589_934_591)
 U64_MOST = 2**64 - 1
 
 
+#: A word in any case between white space.
+_SPELLED = r"^[ \t\n\x0B\f\r]*(?i:{})[ \t\n\x0B\f\r]*\z"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FOUR = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
 
 def _four_hex(text: Column) -> Column:
     """The eight hex digits of an IPv4 address."""
-    parts = [F.split_part(text, F.lit("."), F.lit(k)).try_cast("bigint") for k in (1, 2, 3, 4)]
-    return F.lpad(F.hex(((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]), 8, "0")
+    parts = F.split(text, r"\.")
+    return F.concat(*[F.lpad(F.hex(F.get(parts, F.lit(k)).try_cast("bigint")), 2, "0") for k in range(4)])
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -99,7 +102,8 @@ def parse_number(v: Column, kind: str, parse_string: bool = True, found: Column
         native = F.when(is_number(v, found), _get(v, "double"))
         guard = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
     else:
-        native = F.when((found == "BIGINT") | (found.startswith("DECIMAL(") & found.endswith(",0)")), _get(v, "decimal(38,0)"))
+        # An integer of 64 bits is read as it is: the variant's own way to a decimal costs several times as much.
+        native = F.when(found == "BIGINT", _get(v, "bigint").cast("decimal(38,0)")).when(found.startswith("DECIMAL(") & found.endswith(",0)"), _get(v, "decimal(38,0)"))
         guard = r"^[+-]?\d+$" if kind == "i64" else r"^\+?\d+$"
     text = _string(v, found)
     spelled = F.when(text.rlike(guard), text.try_cast("double" if kind == "f64" else "decimal(38,0)"))
@@ -113,8 +117,9 @@ def parse_boolean(v: Column, parse_string: bool = True, found: Column | None = N
     """JSON booleans, and true or false in any case, trimmed."""
     found = kind_of(v) if found is None else found
     native = F.when(found == "BOOLEAN", _get(v, "boolean"))
-    text = F.lower(F.trim(_string(v, found), F.lit(" \t\n\x0b\f\r")))
-    spelled = F.when(text == "true", True).when(text == "false", False)
+    # Both patterns take ASCII letters only, as no other letter's lower case is one of these.
+    text = _string(v, found)
+    spelled = F.when(text.rlike(_SPELLED.format("true")), True).when(text.rlike(_SPELLED.format("false")), False)
     return F.coalesce(native, spelled) if parse_string else native
 
 
@@ -159,7 +164,7 @@ def parse_value(v: Column, field: Field, found: Column | None = None) -> Column:
     if field.kind == "datetime":
         return parse_datetime(v, o["formats"], found)
     if field.kind == "dynamic_object":
-        return F.when(found.startswith("OBJECT"), v)
+        return F.when(_get(v, "map<string,variant>").isNotNull(), v)
     return _string(v, found)
 
 
@@ -167,6 +172,11 @@ def _each(items: Column, field: Field) -> Column:
     return F.transform(items, lambda v: parse_value(v, field))
 
 
+def _holds(field: Field) -> bool:
+    """Whether a field's value is an array or an object."""
+    return field.array or field.kind == "dynamic_object"
+
+
 def _last_of_equal_keys(found: Column) -> Column:
     # Reading a map keeps equal keys; making one follows the session's rule.
     return F.map_from_entries(F.map_entries(found))
@@ -205,23 +215,27 @@ def parse_documents(lines: DataFrame, config: IndexConfig, column: str = "value"
 
     rest = F.map_filter("_map", lambda k, _: ~k.isin(declared)) if declared else F.col("_map")
     raws = [found(f).alias(f"_raw{k}") for k, f in enumerate(leaves)]
-    kinds = [kind_of(found(f)).alias(f"_kind{k}") for k, f in enumerate(leaves)]
+    # The kind of a container would be spelled out with all that is in it: it's asked for where a scalar should be.
+    kinds = [kind_of(found(f)).alias(f"_kind{k}") for k, f in enumerate(leaves) if not _holds(f)]
     docs = docs.select(LINE, *raws, *kinds, rest.alias("_rest"), _apart(F.col("_map").isNull()).alias("_broken"))
     values, there = [], []
     for k, field in enumerate(leaves):
-        raw, kind = F.col(f"_raw{k}"), F.col(f"_kind{k}")
-        made = _each(F.when(kind.startswith("ARRAY"), _get(raw, "array<variant>")), field) if field.array else parse_value(raw, field, kind)
+        raw, kind = F.col(f"_raw{k}"), None if _holds(field) else F.col(f"_kind{k}")
+        made = _each(_get(raw, "array<variant>"), field) if field.array else parse_value(raw, field, kind)
         null_is_absent = field.kind not in ("datetime", "ip")
         values.append(made.alias(field.name))
-        there.append((F.coalesce(kind != "VOID", F.lit(False)) if null_is_absent else raw.isNotNull()).alias(f"_there{k}"))
+        there.append((raw.isNotNull() & ~F.is_variant_null(raw) if null_is_absent else raw.isNotNull()).alias(f"_there{k}"))
     docs = docs.select(LINE, *values, *there, F.to_variant_object("_rest").alias(DYNAMIC), _apart(F.col("_broken")).alias("_broken"))
     packed = {f.name: F.transform(_named(f.name), address_bytes) if f.array else address_bytes(_named(f.name)) for f in leaves if f.kind == "ip"}
     docs = docs.select("*", *[value.alias(name + "#bytes") for name, value in packed.items()])
-    shown, errors = [], [F.when(F.col("_broken"), F.lit("json"))]
+    shown, faults = [], [("json", F.col("_broken"))]
     for k, field in enumerate(leaves):
         read = _named(address_name(field) if field.kind == "ip" else field.name)
         bad = read.isNull() | F.exists(read, lambda v: v.isNull()) if field.array else read.isNull()
-        errors.append(F.when(F.col(f"_there{k}") & bad, F.lit(field.name)))
+        faults.append((field.name, F.col(f"_there{k}") & bad))
         shown += [read] if field.kind == "ip" else []
         shown.append(_named(field.name))
-    return docs.select(LINE, *shown, DYNAMIC, F.array_compact(F.array(*errors)).alias(ERRORS))
+    # Most lines have none: then no array is made and looked through, which isn't compiled.
+    errors = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in faults]))
+    none = F.array().cast("array<string>")
+    return docs.select(LINE, *shown, DYNAMIC, F.when(reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad in faults]), errors).otherwise(none).alias(ERRORS))

@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 
 from brindle.config import IndexConfig, from_dict, load
 from brindle.functions.parse import ERRORS, LINE, parse_documents
-from brindle.operators.search import Statistics, matches, needed_terms, postings, ranked, result_json, text_terms, top
+from brindle.operators.search import Statistics, matches, needed_terms, places, ranked, result_json, text_terms, top
 from brindle.plans.bind import Searchable, field_tokens
 from brindle.plans.grammar import parse_query
-from brindle.session import configure
+from brindle.session import configure, setting
 
 FILE_ID, DOC_ID = "_file", "_doc"
 RETRIES = 20
 #: Postings in one Parquet file, about.
-POSTINGS_PER_FILE = 10_000_000
+POSTINGS_PER_FILE = 1_000_000
+#: Documents from which a merge has a task, and with it a file, more; up to the number of cores.
+ROWS_PER_TASK = 100_000
 #: How long replaced file groups stay, and how many manifest versions.
 GRACE_SECONDS, MANIFESTS_KEPT = 3600.0, 100
 
@@ -163,7 +165,7 @@ class Catalog:
         table = Searchable.of(self.spark.read.parquet(self._data(name, file_id)), config)
         fields, found = [f for f in config.leaves() if f.kind == "text" and f.indexed and f.tokenizer != "raw"], None
         for field in fields:
-            part = postings(table, field, DOC_ID).select(F.lit(field.name).alias("field"), "term", F.col("id").alias(DOC_ID), "tf", "positions")
+            part = places(table, field, DOC_ID).select(F.lit(field.name).alias("field"), "term", F.col("id").alias(DOC_ID), "position")
             found = part if found is None else found.unionByName(part)
         facts = {"documents": table.df.count(), "lengths": {}}
         if found is not None:
@@ -171,7 +173,15 @@ class Catalog:
             sizes = table.df.agg(*[F.sum(F.greatest(F.size(field_tokens(f)), F.lit(0))).alias(f"n{k}") for k, f in enumerate(fields)]).first()
             facts["lengths"] = {f.name: sizes[k] or 0 for k, f in enumerate(fields)}
             parts = max(1, -(-sum(facts["lengths"].values()) // POSTINGS_PER_FILE))
-            found.repartitionByRange(parts, "field", "term", DOC_ID).sortWithinPartitions("field", "term", DOC_ID).write.parquet(path)
+            # One shuffle and one sort: the ranges keep a document's places of a term together, in order, so that they are gathered as they come.
+            # (A lone field's name is a constant, which the optimizer takes out of the key, so that the ranges wouldn't fit it.)
+            several = len(fields) > 1
+            key = ("field", "term", DOC_ID) if several else ("term", DOC_ID)
+            ordered = found.repartitionByRange(parts, *key).sortWithinPartitions(*key, "position")
+            with setting(self.spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+                gathered = ordered.groupBy(*key).agg(F.count("*").alias("tf"), F.collect_list("position").alias("positions"))
+                name_of = F.col("field") if several else F.lit(fields[0].name).alias("field")
+                gathered.select(name_of, "term", DOC_ID, "tf", "positions").write.parquet(path)
         return facts
 
     def rejects(self, name: str, lines: DataFrame) -> DataFrame:
@@ -246,9 +256,11 @@ class Catalog:
             return None
         file_id = uuid.uuid4().hex
         df = self.read(name).drop(FILE_ID, DOC_ID)
-        # A coalesce would leave one task with everything; files of bounded size come from an even deal.
-        parts = -(-df.count() // rows_per_file)
-        df.repartition(max(1, parts)).select(F.monotonically_increasing_id().alias(DOC_ID), "*").write.parquet(self._data(name, file_id))
+        # The scan's splits are even and bounded, so that rows needn't be dealt anew; one file for all would leave it to one task.
+        rows, splits = df.count(), df.rdd.getNumPartitions()
+        parts, tasks = max(1, -(-rows // rows_per_file)), min(self.spark.sparkContext.defaultParallelism, rows // ROWS_PER_TASK)
+        df = df.repartition(parts) if parts > splits else df.coalesce(max(parts, tasks))
+        df.select(F.monotonically_increasing_id().alias(DOC_ID), "*").write.parquet(self._data(name, file_id))
         facts = self._invert(name, file_id, self.config(name))
 
         def swap(manifest: dict) -> dict:

@@ -157,10 +157,14 @@ def result_json(hits: DataFrame, config: IndexConfig, include_unindexed: bool =
     return hits.select(F.to_json(F.to_variant_object(whole)).alias("json"))
 
 
+def places(table: Searchable, field: Field, id_col: str) -> DataFrame:
+    """(id, position, term): each token of a text field."""
+    return table.df.select(F.col(id_col).alias("id"), F.posexplode(field_tokens(field)).alias("position", "term"))
+
+
 def postings(table: Searchable, field: Field, id_col: str) -> DataFrame:
     """(term, id, tf, positions): the inverted form of one text field, for repeated searches for terms."""
-    placed = table.df.select(F.col(id_col).alias("id"), F.posexplode(field_tokens(field)).alias("position", "term"))
-    grouped = placed.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    grouped = places(table, field, id_col).groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
     return grouped.select("term", "id", "tf", "positions")
 
 

@@ -328,3 +328,83 @@ def test_paths_begin_with_a_key_of_the_object(spark, catalog):
     catalog.index("t", lines(spark, [{"d": {"a.b": "yes"}, "n": 1}, {"d": {"a": [{"b": "yes"}]}, "n": 2}, {"d": {"a": {"b": None}}, "n": 3}, {"d": {"b": "yes"}, "n": 4}, {"n": 5}]))
     for query in ("d.a.b:yes", "d.a.b:*"):
         assert sorted(json.loads(j)["n"] for j in found(catalog, "t", query)) == [1, 2]
+
+
+def test_postings_come_in_order_by_one_shuffle(spark, catalog, monkeypatch):
+    from brindle.operators import catalog as module
+
+    monkeypatch.setattr(module, "POSTINGS_PER_FILE", 3)
+    config = catalog.create(one("text"))
+    file_id = catalog.index(config.name, lines(spark, [{"x": f"b a b c{n} b"} for n in range(4)]))
+    found = spark.read.parquet(catalog._postings(config.name, file_id))
+    assert found.columns == ["field", "term", "_doc", "tf", "positions"]
+    rows = found.collect()
+    assert sorted((r.term, r.tf, tuple(r.positions)) for r in rows) == sorted([("a", 1, (1,)), ("b", 3, (0, 2, 4))] * 4 + [(f"c{n}", 1, (3,)) for n in range(4)])
+    # Each file is in order, a document's places of a term are in one of them, and the session's setting is as before.
+    by_file = found.select("term", "_doc", F.input_file_name().alias("file")).collect()
+    for file in {r.file for r in by_file}:
+        keys = [(r.term, r._doc) for r in by_file if r.file == file]
+        assert keys == sorted(keys)
+    assert len({r.file for r in by_file}) > 1 and spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+
+
+def test_a_merge_takes_no_shuffle_of_documents(spark, catalog, monkeypatch):
+    from brindle.operators import catalog as module
+
+    config = catalog.create(one("text"))
+    for n in range(3):
+        catalog.index(config.name, lines(spark, [{"x": f"w{n} v{k}"} for k in range(8)]))
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 6)
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda *_: pytest.fail("dealt anew"))
+    merged = spark.read.parquet(catalog._data(config.name, catalog.merge(config.name)))
+    assert merged.count() == 24 and merged.select("_doc").distinct().count() == 24
+    # One file for each six documents, none of which a core has to write alone.
+    assert merged.select(F.input_file_name()).distinct().count() == 4
+    assert catalog.search(config.name, "w1", 100).count() == 8
+
+
+def test_dynamic_objects_are_written_whole(spark, catalog):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    config = catalog.create(one("dynamic_object"))
+    file_id = catalog.index(config.name, lines(spark, [{"x": {"a": n}, "more": "m"} for n in range(50)]))
+    for file in pathlib.Path(catalog._data(config.name, file_id).removeprefix("file:").replace("//", "/", 1)).glob("*.parquet"):
+        assert not any("typed_value" in c.path for c in pq.ParquetFile(file).schema)
+
+
+@pytest.mark.parametrize(("query", "want"), [("x.a:report", {0, 1, 3}), ("x.a: IN [report news]", {0, 1, 2, 3}), ("x.a:7", {4, 5}), ("x.a:true", {6, 7})])
+@pytest.mark.parametrize("tokenizer", ["default", "en_stem"])
+def test_words_in_dynamic_objects(spark, catalog, query, want, tokenizer):
+    config = catalog.create(one("dynamic_object", f"{{indexed: {{tokenizer: {tokenizer}}}}}"))
+    held = ["a report", ["x", "Report"], "news", [None, {"b": 1}, "report 8"], 7, "seven 7", True, "true", None, {"b": "report"}]
+    catalog.index(config.name, lines(spark, [{"x": {"a": v}, "n": n} for n, v in enumerate(held)]))
+    assert {json.loads(r.json)["n"] for r in catalog.search(config.name, query, 100).collect()} == want
+
+
+def test_words_alone_are_sought_in_strings_alone(spark):
+    from brindle.config import Field
+    from brindle.plans.bind import Searchable, predicate
+
+    field = Field(("x",), "dynamic_object", {"indexed": {"tokenizer": "en_stem"}})
+    tree = str(predicate(Searchable(spark.range(1), (field,)), parse_query("x.a:reporter")))
+    assert "zip_with" not in tree and "to_timestamp" not in tree
+
+
+def test_kinds_of_containers_and_faults(spark):
+    config, _ = load("name: t\npath: p\nschema:\n  fields:\n    - {name: a, array: true, type: !number {type: i64}}\n    - {name: o, type: !dynamic_object }\n    - {name: b, type: !boolean }\n    - {name: n, type: !number {type: u64}}\n")
+    cases = [
+        ({"a": [1, "2"], "o": {"k": 1}, "b": "\t TRUE\n", "n": 2**64 - 1}, []),
+        ({"a": None, "o": None, "b": None, "n": None}, []),
+        ({"a": {"k": 1}, "o": [1], "b": "true x", "n": -1}, ["a", "o", "b", "n"]),
+        ({"a": [1, None], "o": "s", "b": "\u00a0true", "n": 2**64}, ["a", "o", "b", "n"]),
+        ({"a": [[1]], "o": 1, "b": {"k": True}, "n": [1]}, ["a", "o", "b", "n"]),
+        ({}, []),
+        ("[1]", ["json"]),
+    ]
+    got = parse_documents(lines(spark, [row for row, _ in cases]).coalesce(1), config)
+    assert [r[ERRORS] for r in got.collect()] == [faults for _, faults in cases]
+    # No kind of an array or object is spelled out, and a line without a fault makes no array of faults.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(_map") <= 2
