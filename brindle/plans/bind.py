@@ -245,15 +245,28 @@ def _dynamic_leaf(field: Field, path: list[str], leaf: Node) -> Column:
     def read(v: Column, words: Callable[[Column], Column]) -> Column:
         return let(kind_of(v), lambda kind: let(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), lambda text: let(words(text), lambda w: one(v, kind, text, w))))
 
+    if _only_words(leaf):
+        found = lambda words: F.coalesce(_text_leaf(words, field, leaf), F.lit(False))
+        if field.tokenizer == "en_stem":
+            return F.exists(token_lists(F.transform(items, string), field.tokenizer), found)
+        return F.exists(items, lambda v: let(tokens(string(v), field.tokenizer), found))
     if field.tokenizer != "en_stem":
         return F.exists(items, lambda v: read(v, lambda text: tokens(spoken(text), field.tokenizer)))
     stems = token_lists(F.transform(items, lambda v: spoken(string(v))), field.tokenizer)
     return F.exists(F.zip_with(items, stems, lambda v, words: read(v, lambda _: words)), lambda found: found)
 
 
+def _only_words(leaf: Node) -> bool:
+    """Whether a leaf's literals are words only, so that nothing but strings can hold them."""
+    texts = [leaf.text] if isinstance(leaf, Term) else leaf.values if isinstance(leaf, Among) else None
+    kinds = [Field(("_",), name, {}) for name in ("number", "boolean", "datetime")]
+    return texts is not None and all(literal(kind, t) is None for kind in kinds for t in texts)
+
+
 def _elements(v: Column) -> Column:
     """The elements of an array variant; null for anything else."""
-    return F.when(kind_of(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    # What isn't an array can't be read as one; its kind, spelled out with all that is in it, isn't needed.
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _through_arrays(base: Column, path: list[str]) -> Column:
