@@ -408,3 +408,17 @@ def test_kinds_of_containers_and_faults(spark):
     # No kind of an array or object is spelled out, and a line without a fault makes no array of faults.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("schemaOfVariant(_map") <= 2
+
+
+def test_rows_are_dealt_where_splits_have_no_row_group(spark, tmp_path):
+    from brindle.session import setting
+    from brindle.sources.tables import dealt
+
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    file = next((tmp_path / "one").glob("*.parquet"))
+    # Of ten splits one has the only row group.
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(file.stat().st_size // 10)):
+        df = spark.read.parquet(str(file))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = dealt(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in sizes) == 4000
