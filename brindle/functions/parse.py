@@ -105,9 +105,9 @@ def parse_number(v: Column, kind: str, parse_string: bool = True, found: Column
         # An integer of 64 bits is read as it is: the variant's own way to a decimal costs several times as much.
         native = F.when(found == "BIGINT", _get(v, "bigint").cast("decimal(38,0)")).when(found.startswith("DECIMAL(") & found.endswith(",0)"), _get(v, "decimal(38,0)"))
         guard = r"^[+-]?\d+$" if kind == "i64" else r"^\+?\d+$"
-    text = _string(v, found)
-    spelled = F.when(text.rlike(guard), text.try_cast("double" if kind == "f64" else "decimal(38,0)"))
-    value = F.coalesce(native, spelled) if parse_string else native
+    # Filters that are moved below the parsing spell this out for each time that it is named, so that kind and text are named as seldom as may be.
+    spelled = F.regexp_extract(_get(v, "string"), guard, 0).try_cast("double" if kind == "f64" else "decimal(38,0)")
+    value = F.when(found == "STRING", spelled if parse_string else None).otherwise(native)
     if kind == "u64":
         value = F.when(value.between(F.lit(0).cast("decimal(38,0)"), F.lit(str(U64_MOST)).cast("decimal(38,0)")), value)
     return value.try_cast(target)

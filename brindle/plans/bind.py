@@ -144,7 +144,8 @@ def _between(value: Column, low: Column | None, high: Column | None, r: Range) -
         parts.append(value >= low if r.with_low else value > low)
     if high is not None:
         parts.append(value <= high if r.with_high else value < high)
-    return reduce(lambda a, b: a & b, parts, F.lit(True)) & value.isNotNull()
+    # A comparison with null is null, which is no match: the value, which may stand for all of its parsing, isn't named once more.
+    return reduce(lambda a, b: a & b, parts) if parts else value.isNotNull()
 
 
 def _typed(field: Field, leaf: Node, named: bool) -> Column | None:

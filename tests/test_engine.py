@@ -11,8 +11,8 @@ from brindle.functions.parse import ERRORS, address_bytes, parse_documents
 from brindle.functions.stem import stem
 from brindle.functions.tokenize import literal_tokens, token_lists, tokens
 from brindle.operators.catalog import BadLineError, Catalog, CatalogError
-from brindle.operators.search import ranked
-from brindle.plans.bind import phrase
+from brindle.operators.search import matches, ranked
+from brindle.plans.bind import Searchable, phrase
 from brindle.plans.grammar import QuerySyntaxError, parse_query
 from brindle.queries import QUERIES as REGISTERED
 from brindle.sources.connect import SourceError, connect, kafka_options, kafka_url, stdin_batches
@@ -422,3 +422,17 @@ def test_rows_are_dealt_where_splits_have_no_row_group(spark, tmp_path):
         assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
         sizes = dealt(df).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in sizes) == 4000
+
+
+def test_a_filter_finds_a_number_s_kind_seldom(spark):
+    plan = REGISTERED["static_object_number"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "schemaOfVariant" in line]
+    assert len(filters) == 1 and filters[0].count("schemaOfVariant(") <= 4
+
+
+def test_spelled_numbers(spark):
+    config, _ = load("name: t\npath: p\nschema:\n  fields:\n    - {name: i, type: !number {type: i64}}\n    - {name: f, type: !number {type: f64}}\n    - {name: s, type: !number {type: i64, parse_string: false}}\n")
+    cases = [("12", 12, 12.0), ("+7\n", 7, 7.0), ("1\n2", None, None), (" 3", None, None), ("", None, None), ("2e1", None, 20.0), ("9223372036854775808", None, 2.0**63), (5, 5, 5.0), (None, None, None)]
+    got = parse_documents(lines(spark, [{"i": v, "f": v, "s": v} for v, _, _ in cases]).coalesce(1), config).collect()
+    assert [(r.i, r.f, r.s) for r in got] == [(i, f, v if isinstance(v, int) else None) for v, i, f in cases]
+    assert matches(Searchable.of(parse_documents(lines(spark, [{"i": 1}, {"i": "x"}, {}]), config), config), "NOT i:<1 AND *").count() == 3
